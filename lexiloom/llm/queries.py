@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import language_id, mixing, nearest, packing, quality_model, quality_rules, substring_dedup, token_counts, warc
 
 
 def queries() -> dict:
     return {
+        "op1_quality_model": quality_model.op1_quality_model,
+        "op2_nearest": nearest.op2_nearest,
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op4_pack": packing.op4_pack,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op7_token_counts": token_counts.op7_token_counts,
+        "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+        "op9_language_id": language_id.op9_language_id,
+        "op10_warc_round_trip": warc.op10_warc_round_trip,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.OP3_SQL, "op5_quality_rules": quality_rules.OP5_SQL}
+    return {
+        "op3_mix_sources": mixing.OP3_SQL,
+        "op5_quality_rules": quality_rules.OP5_SQL,
+        "op8_substring_dedup": substring_dedup.OP8_SQL,
+        "op10_warc_round_trip": warc.OP10_SQL,
+    }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ._common import md5_int
 
 #: Rows of one (group, size) that one window partition holds, about.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 
 
 def ranked(df: DataFrame, group: str, size: str, key: str, descending: bool = False, rank: str = "rank") -> DataFrame:
