@@ -125,29 +125,17 @@ def pool(data: np.ndarray, off: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         t, row = tokens(part, o)
         if not len(t):
             continue
-        edge = np.searchsorted(row, np.arange(b - a + 1))
-        v = vectors[t]
-
-        def total(x, edge=edge):
-            run = np.zeros((len(x) + 1, x.shape[1]), np.float64)
-            np.cumsum(x, axis=0, dtype=np.float64, out=run[1:])
-            e = np.minimum(edge, len(x))
-            return run[e[1:]] - run[e[:-1]]
-
-        first[a:b] += total(v)
-        second[a:b] += total(v * v)
-        near = np.zeros(len(t), np.float32)
-        near[:-1] = row[1:] == row[:-1]
-        d = np.zeros_like(v)
-        np.abs(v[1:] - v[:-1], out=d[:-1])
-        d *= near[:, None]
-        step[a:b] += total(d)
-        same = np.zeros(len(t), np.float32)
-        same[:-1] = (t[1:] == t[:-1]) * near[:-1]
-        both = total(np.stack([same, near], 1))
-        still[a:b] += both[:, 0]
-        pairs[a:b] += both[:, 1]
-        count[a:b] += np.diff(edge)
+        edge = np.searchsorted(row, np.arange(b - a + 1)).tolist()
+        for i, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True), a):
+            if x == y:
+                continue
+            v = vectors[t[x:y]]
+            first[i] += v.sum(0, dtype=np.float64)
+            second[i] += np.einsum("ij,ij->j", v, v)
+            step[i] += np.abs(v[1:] - v[:-1]).sum(0, dtype=np.float64)
+            still[i] += np.count_nonzero(t[x + 1 : y] == t[x : y - 1])
+            pairs[i] += y - x - 1
+            count[i] += y - x
     c, p = np.maximum(count, 1)[:, None], np.maximum(pairs, 1)[:, None]
     mean = first / c
     return np.concatenate([mean, np.sqrt(np.maximum(second / c - mean**2, 0)), step / p, np.log1p(count)[:, None] / 10, still[:, None] / p], 1)
