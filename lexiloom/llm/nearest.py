@@ -20,10 +20,11 @@ from ._common import bound_batches, table
 #: Rows that the tree is fitted on, at most.
 SAMPLE = 20_000
 BRANCH = 8
-#: Indexed vectors for each leaf, about; leaves are at most SAMPLE / LEAF_SAMPLE.
-LEAF_ROWS = 128
+#: Leaves: the root of the number of vectors over this, at most SAMPLE / LEAF_SAMPLE. Each visit has a
+#: fixed cost besides that of its rows, and the root balances the two.
+LEAF_ROOT = 4
 LEAF_SAMPLE = 16
-TARGET = 0.97
+TARGET = 0.95
 CALIBRATION = 300
 #: Vectors of one leaf that a task handles together; larger leaves are split.
 CHUNK_ROWS = 4096
@@ -42,15 +43,36 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def exact_cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosines of one vector with each row, in double precision, the same for equal rows wherever they stand."""
-    dot, qq, xx = np.zeros(len(x)), 0.0, np.zeros(len(x))
+    """Cosines of paired rows in double precision, the same for equal pairs wherever they stand."""
+    dot, qq, xx = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
     for d in range(x.shape[1]):
-        dot += q[d] * x[:, d]
+        dot += q[:, d] * x[:, d]
         xx += x[:, d] * x[:, d]
-        qq += q[d] * q[d]
+        qq += q[:, d] * q[:, d]
     return dot / (np.sqrt(qq) * np.sqrt(xx))
 
 
+def nearest(qi, qv, xi, xv, k: int):
+    """(query ids, ids, scores) of the k nearest rows of each query, ties to the smaller id, never its own id.
+
+    A matrix product finds who may be among the k (all within rounding of the k-th); exact cosines rank them.
+    """
+    xu, out = unit(xv), ([], [], [])
+    for a in range(0, len(qi), 256):
+        ids, q = qi[a : a + 256], qv[a : a + 256]
+        rough = unit(q) @ xu.T
+        rough[ids[:, None] == xi[None, :]] = -np.inf
+        least = np.partition(rough, rough.shape[1] - k, axis=1)[:, -k, None] if rough.shape[1] > k else np.full((len(ids), 1), -2.0)
+        row, col = np.nonzero((rough >= least - 1e-9) & (rough > -np.inf))
+        e = np.concatenate([exact_cosine(q[row[i : i + 16384]], xv[col[i : i + 16384]]) for i in range(0, len(row), 16384)] or [np.zeros(0)])
+        order = np.lexsort((xi[col], -e, row))
+        row, col, e = row[order], col[order], e[order]
+        top = np.arange(len(row)) - np.searchsorted(row, row) < k
+        for part, v in zip(out, (ids[row[top]], xi[col[top]], e[top]), strict=True):
+            part.append(v)
+    return tuple(np.concatenate(x) if x else np.zeros(0) for x in out)
+
+
 class Tree:
     """Nodes in arrays: children of node i are rows kids[i] of centres (empty: a leaf)."""
 
@@ -165,7 +187,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", emb
     sample = unit(sample[np.lexsort(sample.T)])
     # an even number of copies would hide what lies between: the tree learns from distinct vectors
     sample = np.unique(sample, axis=0)
-    leaves = max(1, min(n // LEAF_ROWS, len(sample) // LEAF_SAMPLE))
+    leaves = max(1, min(int(n**0.5) // LEAF_ROOT, len(sample) // LEAF_SAMPLE))
     tree = Tree(sample, leaves)
     most = calibrate(tree, sample, k, target)
     shipped = spark.sparkContext.broadcast(tree)  # at most 4 * SAMPLE / LEAF_SAMPLE centres
@@ -207,21 +229,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", emb
         asks = np.asarray(table["asks"].to_pylist(), bool)
         ids, v = np.asarray(table["vec_id"], np.int64), matrix(table["v"].combine_chunks())
         qi, qv, xi, xv = ids[asks], v[asks], ids[~asks], v[~asks]
-        out = ([], [], [])
-        if len(xi):
-            xu = unit(xv)
-            for a in range(0, len(qi), 256):
-                rough = unit(qv[a : a + 256]) @ xu.T
-                rough[qi[a : a + 256][:, None] == xi[None, :]] = -np.inf
-                for j, s in enumerate(rough):
-                    least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -2.0
-                    near = np.flatnonzero((s >= least - 1e-9) & (s > -np.inf))
-                    e = exact_cosine(qv[a + j], xv[near])
-                    best = np.lexsort((xi[near], -e))[:k]
-                    out[0].extend([int(qi[a + j])] * len(best))
-                    out[1].extend(xi[near][best].tolist())
-                    out[2].extend(e[best].tolist())
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+        got = nearest(qi, qv, xi, xv, k) if len(xi) and len(qi) else ((), (), ())
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(("query_id", "vec_id", "score"), got, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
     found = index.unionByName(asked).groupBy("leaf", "part").applyInArrow(answer, "query_id bigint, vec_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
