@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, nearest, packing, quality_model, quality_rules, substring_dedup, token_counts, warc
+from . import language_id, mixing, near_join, nearest, packing, quality_model, quality_rules, substring_dedup, token_counts, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_pack": packing.op4_pack,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op6_near_join": near_join.op6_near_join,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_language_id": language_id.op9_language_id,
