@@ -10,6 +10,8 @@ from .ranks import ranked
 
 #: Fixed-point scale of expected copies, so that running sums are exact integers.
 SCALE = 1 << 24
+#: Offsets that are tried for each source.
+DRAWS = 32
 #: A source is repeated at most so many times.
 MOST = 3
 
@@ -40,10 +42,10 @@ def targets(sizes: DataFrame, source: str = "source", size: str = "size", most:
     })
     level = (F.col("_total") - F.col("_capped")) / F.col("_left")
     fits = level * F.col("_w") <= F.col("source_size") * most
-    x = x.withColumn("_level", F.min(F.when(fits, level)).over(everything))
-    free = F.min(F.when(fits, F.col("source_size") / F.col("_w"))).over(everything)
-    x = x.withColumn("_free", free)
-    target = F.when(F.col("source_size") / F.col("_w") >= F.col("_free"), F.col("_level") * F.col("_w")).otherwise((F.col("source_size") * most).cast("double"))
+    # the first source that fits tells the level; those before it are stopped
+    ratio = F.col("source_size") / F.col("_w")
+    x = x.withColumn("_first", F.min(F.when(fits, F.struct(ratio.alias("free"), (-level).alias("level")))).over(everything))
+    target = F.when(ratio >= F.col("_first.free"), -F.col("_first.level") * F.col("_w")).otherwise((F.col("source_size") * most).cast("double"))
     return x.select("source", "source_size", target.cast("double").alias("target"))
 
 
@@ -51,21 +53,32 @@ def copies(docs: DataFrame, seed: int = 0, doc_id: str = "doc_id", source: str =
     """``docs`` (any columns but text is enough as ``size``) with source_size, target and copies of each row.
 
     Inside a source, rows stand in the order of (size, md5(doc_id), doc_id); a row's expected
-    copies are target / source_size, their prefix sum plus one offset in [0, 1) drawn from the seed
-    and the source's name is cut at integers, and the row is emitted once for each integer crossed.
-    Neighbours have like sizes, so the words taken differ from the target by about one largest row.
-    Rows of size 0 take part; a source without words has target 0 and is not taken. Null ids and
-    null sources count as values of their own; rows equal in all keys are interchangeable.
+    copies are target / source_size, their prefix sum plus one offset in [0, 1) is cut at integers,
+    and the row is emitted once for each integer crossed. Neighbours have like sizes, so the words
+    taken differ from the target by about one largest row at most. Offsets are drawn from the seed
+    and the source's name; of DRAWS draws the one that takes nearest to the target counts (the first
+    of equals), which matters for sources with a few large rows. Rows of size 0 take part; a source
+    without words has target 0 and is not taken. Null ids and null sources count as values of their
+    own; rows equal in all keys are interchangeable.
     """
-    goal = targets(docs, source)
-    rows = ranked(docs, source, "size", doc_id)
+    name = F.coalesce(F.col("source"), F.lit("\0"))
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * SCALE)).otherwise(0).cast("bigint")
-    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("t.source"), F.lit("\0")))
-    x = rows.alias("r").join(goal.alias("t"), F.expr(f"r.`{source}` <=> t.source")).select(
-        "r.*", "t.source_size", "t.target", (md5_int(name) % SCALE).alias("_u"), rate.alias("_rate")
-    )
-    at = lambda k: F.shiftright(F.col("_u") + k * F.col("_rate"), 24)
-    return x.withColumn("copies", (at(F.col("rank")) - at(F.col("rank") - 1)).cast("int")).drop("_u", "_rate", "rank")
+    draws = F.array(*[md5_int(F.concat(F.lit(f"{seed}:{j}:"), name)) % SCALE for j in range(DRAWS)])
+    goal = written(targets(docs, source).withColumns({"_rate": rate, "_u": draws}), "mix-goal")
+    rows = written(ranked(docs, source, "size", doc_id), "mix-ranks")
+
+    def taken(u):
+        at = lambda k: F.shiftright(u + k * F.col("_rate"), 24)
+        return at(F.col("rank")) - at(F.col("rank") - 1)
+
+    on = F.expr(f"r.`{source}` <=> t.source")
+    x = rows.alias("r").join(goal.alias("t"), on).select("r.size", "r.rank", "t.source", "t.target", "t._rate", "t._u")
+    sums = x.groupBy("source", "target").agg(*[F.sum(taken(F.get("_u", F.lit(j))) * F.col("size")).alias(f"_s{j}") for j in range(DRAWS)])
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_s{j}") - F.col("target")).alias("off"), F.lit(j).alias("j")) for j in range(DRAWS)]))["j"]
+    pick = sums.select("source", best.alias("_j"))
+    goal = goal.alias("g").join(pick.alias("p"), F.expr("g.source <=> p.source")).select("g.source", "g.source_size", "g.target", "g._rate", F.get("g._u", F.col("p._j")).alias("_u"))
+    x = rows.alias("r").join(goal.alias("t"), on).select("r.*", "t.source_size", "t.target", "t._rate", "t._u")
+    return x.withColumn("copies", taken(F.col("_u")).cast("int")).drop("_u", "_rate", "rank")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,12 +96,14 @@ r AS (SELECT *, sum(source_size) OVER ()::BIGINT AS total,
     3 * coalesce(sum(source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS capped,
     sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS rest FROM q),
 s AS (SELECT *, (total - capped) / rest AS level, (total - capped) / rest * w <= 3 * source_size AS fits FROM r),
-f AS (SELECT min(level) FILTER (fits) AS level, min(source_size / w) FILTER (fits) AS free FROM s),
+f AS (SELECT -min({'free': source_size / w, 'level': -level}).level AS level, min(source_size / w) AS free FROM s WHERE fits),
 t AS (SELECT s.source, s.source_size, CASE WHEN s.source_size / s.w >= f.free THEN f.level * s.w ELSE (3 * s.source_size)::DOUBLE END::DOUBLE AS target FROM s, f),
-x AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+x AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size * 16777216)::BIGINT ELSE 0 END AS rate,
-    ('0x' || substr(md5('0:' || coalesce(d.source, chr(0))), 1, 7))::BIGINT % 16777216 AS u,
     row_number() OVER (PARTITION BY d.source ORDER BY d.size, md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id) AS k
-    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, ((((u + k * rate) >> 24) - ((u + (k - 1) * rate) >> 24)) * size)::BIGINT AS taken FROM x
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (SELECT source, j, ('0x' || substr(md5('0:' || j || ':' || coalesce(source, chr(0))), 1, 7))::BIGINT % 16777216 AS u FROM t, range(32) r(j)),
+s2 AS (SELECT x.source, x.target, j, u, sum((((u + k * rate) >> 24) - ((u + (k - 1) * rate) >> 24)) * size) AS taken FROM x JOIN u ON x.source IS NOT DISTINCT FROM u.source GROUP BY ALL),
+b AS (SELECT source, u FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(taken - target), j) AS r FROM s2) WHERE r = 1)
+SELECT doc_id, size, source_size, target, ((((u + k * rate) >> 24) - ((u + (k - 1) * rate) >> 24)) * size)::BIGINT AS taken FROM x JOIN b ON x.source IS NOT DISTINCT FROM b.source
 """
