@@ -107,3 +107,13 @@ def differ(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: whether two manifests hold the same rows, repeats counted."""
     left, right = a.exceptAll(b).limit(1), b.exceptAll(a).limit(1)
     return left.unionByName(right).agg((F.count("*") == 0).alias("valid"))
+
+
+def consistent(metadata: DataFrame) -> DataFrame:
+    """One row: whether all tables' metadata tell the same number of files and the same seed."""
+    return metadata.agg(((F.countDistinct("file_count") <= 1) & (F.countDistinct("hash_seed") <= 1)).alias("consistent"))
+
+
+def samples(tokens: DataFrame, by: str = "len", token: str = "token") -> DataFrame:
+    """The first token of each length, by bytes."""
+    return tokens.groupBy(by).agg(F.min(token).alias(token))
