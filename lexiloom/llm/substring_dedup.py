@@ -18,14 +18,12 @@ No pairs are made: a group of any size is one minimum of doc_id, taken before th
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, flat, gram_hashes, mix, powers, split_words, table, word_spans, written
+from ._common import bound_batches, flat, gram_hashes, mix, powers, split_words, table, written
 
 WINDOW = 50
 GRAM = 26
@@ -44,13 +42,32 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
 
 
 def anchors(grams: np.ndarray) -> np.ndarray:
-    """Positions of grams that are least in some window of REACH + 1 grams (all of equal least ones)."""
+    """Positions of grams that are least in some window of REACH + 1 grams.
+
+    Where the least hash repeats (runs and cycles of words), only so many of its places stay that no
+    REACH + 1 of them in a row are passed over: every window keeps one, with the same hash.
+    """
     w = REACH + 1
     if len(grams) < w:
         return np.zeros(0, np.int64)
     least = _sliding(grams, w, np.minimum)
     padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
-    return np.flatnonzero(_sliding(padded, w, np.maximum) == grams)
+    pos = np.flatnonzero(_sliding(padded, w, np.maximum) == grams)
+    order = np.lexsort((pos, grams[pos]))
+    p, v = pos[order], grams[pos][order]
+    edge = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1], [True]]))
+    many = np.flatnonzero(np.diff(edge) > 2)
+    if not len(many):
+        return pos
+    keep = np.ones(len(p), bool)
+    for a, b in zip(edge[many].tolist(), edge[many + 1].tolist(), strict=True):
+        last = p[a]
+        for k in range(a + 1, b - 1):
+            if p[k + 1] - last <= w:
+                keep[k] = False
+            else:
+                last = p[k]
+    return np.sort(p[keep])
 
 
 def stretch_hashes(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -61,10 +78,6 @@ def stretch_hashes(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
         return mix((c[b] - c[a]) * inverse[a])
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
-
-
 SEEDS = "doc_id bigint, rk int, n int, pos int, h bigint, t bigint, tend int"
 
 
@@ -137,8 +150,10 @@ def removals(docs: DataFrame, packed: DataFrame) -> DataFrame:
     """(doc_id, rk, from, to): word ranges to remove, for rows that lose any."""
     s = written(seeds(docs), "op8-seeds")
     shared = s.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("_most")).filter("least < _most").drop("_most")
+    shared = written(shared, "op8-repeated")  # read back, its join's hot keys can be split
     s1 = written(s.join(shared, "h"), "op8-shared")
     repeated = s1.filter("tend > 0").groupBy("h", "t").agg(F.min("doc_id").alias("tleast"), F.max("doc_id").alias("_most")).filter("tleast < _most").drop("_most")
+    repeated = written(repeated, "op8-stretches")
     x = s1.join(repeated, ["h", "t"], "left")
     settled = F.when(F.coalesce(F.col("tleast") < F.col("doc_id"), F.lit(False)), F.col("tend")).otherwise(0)
     by_doc = x.groupBy("doc_id", "rk").agg(F.first("n").alias("n"), F.array_sort(F.collect_set(F.struct("pos", "h", (F.col("least") < F.col("doc_id")).alias("asks"), settled.alias("tend")))).alias("seeds"))
@@ -154,7 +169,7 @@ def removals(docs: DataFrame, packed: DataFrame) -> DataFrame:
                 out += [r["h"] for r in row if r["asks"] and open_at[min(top, r["pos"] + 1)] > open_at[min(top, max(0, r["pos"] - REACH))]]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["h"])
 
-    asked = by_doc.select("n", "seeds").mapInArrow(active, "h bigint").distinct()
+    asked = written(by_doc.select("n", "seeds").mapInArrow(active, "h bigint").distinct(), "op8-active")
     each = by_doc.select("doc_id", "rk", F.explode("seeds").alias("s")).select("doc_id", "rk", "s.h", "s.pos")
     places = each.join(asked, "h", "left_semi").groupBy("doc_id", "rk").agg(F.collect_list("pos").alias("at"))
 
@@ -177,6 +192,7 @@ def removals(docs: DataFrame, packed: DataFrame) -> DataFrame:
     w = packed.join(places, ["doc_id", "rk"]).select("doc_id", "rk", "z", "size", "at").mapInArrow(windows, "w1 bigint, w2 bigint, doc_id bigint, rk int, s int")
     w = written(w, "op8-windows")
     first = w.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("_most")).filter("least < _most").drop("_most")
+    first = written(first, "op8-first")
     single = w.join(first, ["w1", "w2"]).filter("least < doc_id").select("doc_id", "rk", F.col("s").alias("from"), (F.col("s") + WINDOW).alias("to"))
     inside = by_doc.select("doc_id", "rk", F.explode(F.filter("seeds", lambda s: s["tend"] > 0)).alias("s")).select("doc_id", "rk", F.col("s.pos").alias("from"), F.col("s.tend").alias("to"))
     return single.unionByName(inside)
