@@ -25,6 +25,8 @@ RULES = (
     ("bare_line_ratio", None, 0.95),
 )
 
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
 _SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -95,7 +97,9 @@ def quality_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     x = x.withColumn("base_failed", failed)
     x = x.withColumn("kept", ~F.col("base_failed") & verdict(rules))
-    return x.drop("_text", "_words", "_lines", "_n_lines", "_stops", "_bare", "_hashes", "_sorted", "_at")
+    # a filter on a result must not be pushed below the layers: it would repeat their expressions
+    given = [c for c in docs.columns if c not in RESULTS]
+    return x.select(*given, F.inline(F.array(F.struct(*RESULTS))))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
