@@ -281,6 +281,7 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", html: str = "html",
     slim = pages.select(F.col(page_id).alias("page_id"), F.sha1(F.coalesce(F.encode(F.col(html), "utf-8"), F.lit(b""))).alias("_sha"))
     # only payloads found twice have a row to join with
     last = slim.groupBy("_sha").agg(F.max("page_id").alias("_last"), F.min("page_id").alias("_first")).filter("_first < _last").drop("_first")
+    last = written(last, "warc-repeated")  # read back, its join's hot keys can be split
     x = rows.join(last, "_sha", "left")
     again = F.col("_last").isNotNull() & (F.col("page_id") < F.col("_last")) & (F.length("payload") >= least)
     return x.select("page_id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("_last")).alias("refers_to"))
