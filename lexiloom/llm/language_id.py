@@ -26,8 +26,8 @@ LANGUAGES = 64
 SYMBOLS = 95
 #: Deepest contexts (of three bytes) that have a row of their own in the tables, by training count.
 CONTEXTS = 24_000
-#: A text is rejected if even its best language needs more bits a byte than this.
-REJECT_BITS = 6.5
+#: A text is rejected if even its best language needs more bits a byte than raw bytes do.
+REJECT_BITS = 8.0
 
 
 def fold(data: np.ndarray, off: np.ndarray | None = None) -> np.ndarray:
