@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ._common import md5_int
 
-#: Rows of one (group, size) that one window partition holds, about.
-BLOCK_ROWS = 1024
+#: Rows of one (group, size) are cut into their root over this many blocks: blocks and the rows of a
+#: block grow alike.
+BLOCK_ROOT = 4
 
 
 def ranked(df: DataFrame, group: str, size: str, key: str, descending: bool = False, rank: str = "rank") -> DataFrame:
@@ -21,7 +22,7 @@ def ranked(df: DataFrame, group: str, size: str, key: str, descending: bool = Fa
     """
     h = md5_int(F.col(key))
     same = df.groupBy(F.col(group).alias("_g"), F.col(size).alias("_s")).agg(F.count("*").alias("_same"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("_same") / BLOCK_ROWS)).cast("bigint")
+    blocks = F.greatest(F.lit(1), F.ceil(F.sqrt("_same") / BLOCK_ROOT)).cast("bigint")
     cols = df.columns
     left = df.withColumns({"_g": F.col(group), "_s": F.col(size), "_h": h})
     a = left.alias("a").join(same.alias("b"), F.expr("a._g <=> b._g and a._s = b._s")).select("a.*", (F.floor(F.col("a._h") * blocks / F.lit(1 << 28))).cast("bigint").alias("_b"))
