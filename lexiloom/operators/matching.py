@@ -31,7 +31,8 @@ class Dictionary:
         for n, ids in sorted(by.items()):
             h = np.array([self._one(tokens[i]) for i in ids], np.uint64)
             o = np.argsort(h, kind="stable")
-            self.by[n] = (h[o], np.array(ids, np.int64)[o])
+            ids = np.array(ids, np.int64)[o]
+            self.by[n] = (h[o], ids, np.frombuffer(b"".join(tokens[i] for i in ids), np.uint8).reshape(-1, n))
 
     P = 0x9E3779B97F4A7C15
 
@@ -46,10 +47,9 @@ class Dictionary:
         """(start, end, token_id) of every match in one text, each checked byte by byte; by end, then start."""
         out = []
         x = data.astype(np.uint64) + np.uint64(1)
-        raw = data.tobytes()
         h, k = np.zeros(len(x) + 1, np.uint64), 0
         with np.errstate(over="ignore"):
-            for n, (keys, ids) in self.by.items():
+            for n, (keys, ids, spelt) in self.by.items():
                 if n > len(x):
                     break
                 while k < n:  # hashes of windows of k bytes grow by one byte
@@ -57,19 +57,20 @@ class Dictionary:
                     h = h[:m] * np.uint64(self.P) + x[k : k + m]
                     k += 1
                 lo = np.searchsorted(keys, h)
-                at = np.flatnonzero((lo < len(keys)) & (keys[np.minimum(lo, len(keys) - 1)] == h))
-                for s, j in zip(at.tolist(), lo[at].tolist(), strict=True):
-                    while j < len(keys) and keys[j] == h[s]:
-                        i = int(ids[j])
-                        if raw[s : s + n] == self.tokens[i]:
-                            out.append((s, s + n, i))
-                        j += 1
+                times = np.searchsorted(keys, h, "right") - lo
+                at = np.flatnonzero(times)
+                if not len(at):
+                    continue
+                start = np.repeat(at, times[at])
+                which = np.repeat(lo[at], times[at]) + np.arange(len(start)) - np.repeat(np.cumsum(times[at]) - times[at], times[at])
+                same = (np.lib.stride_tricks.sliding_window_view(data, n)[start] == spelt[which]).all(1)
+                out.append(np.stack([start[same], start[same] + n, ids[which[same]]]))
         if not out:
             z = np.zeros(0, np.int64)
             return z, z, z
-        a = np.array(out, np.int64)
-        a = a[np.lexsort((a[:, 0], a[:, 1]))]
-        return a[:, 0], a[:, 1], a[:, 2]
+        s, e, t = np.concatenate(out, 1)
+        o = np.lexsort((t, s, e))
+        return s[o], e[o], t[o]
 
     def past_end(self, data: bytes) -> list[tuple[int, int, int]]:
         """Tokens that begin in the text and run past its end: its last bytes begin them."""
