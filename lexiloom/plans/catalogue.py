@@ -1,6 +1,7 @@
 """The catalogue of queries over the corpus tables, each with SQL that gives the same rows where SQL can.
 
-Every query runs over its whole table. Bytes are shown as capital hexadecimal digits.
+Every query runs over its whole table. Bytes are shown as capital hexadecimal digits. Where a query's SQL runs
+over ``benchmark`` or ``part``, the query of the same name with ``_documents`` does the same over the documents.
 """
 
 from __future__ import annotations
@@ -135,10 +136,13 @@ def approx_top_words(spark, folder):
 
 @query("ngram_counts_streaming", f"SELECT gram, count(*) AS n FROM ({gram_sql(3, 'benchmark')}) GROUP BY gram")
 def ngram_counts_streaming(spark, folder):
-    path = f"{folder}/benchmark.parquet"
+    return _streamed(spark, f"{folder}/benchmark.parquet", "gram_counts_stream")
+
+
+def _streamed(spark, path: str, name: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     docs = spark.readStream.schema(schema).parquet(path if _is_folder(spark, path) else path[:-1] + "[t]")  # streams read folders and patterns
-    out = streaming.run_to_end(streaming.streaming_gram_counts(docs, 3), "gram_counts_stream")
+    out = streaming.run_to_end(streaming.streaming_gram_counts(docs, 3), name)
     return out.select(F.hex("gram").alias("gram"), "n")
 
 
@@ -365,19 +369,20 @@ def cover_usage(spark, folder):
 
 @query("greedy_longest_suffix")
 def greedy_longest_suffix(spark, folder):
-    """Each part name cut from the right, the longest piece first."""
-    x = segment.suffix_cuts(names(spark, folder), [t.encode() for t in PIECES], "p_partkey")
-    return x.select("p_partkey", F.transform("tokens", lambda t: F.decode(t, "utf-8")).alias("tokens"))
+    """Each document cut from the right, the longest common token first."""
+    x = segment.suffix_cuts(corpus(spark, folder), [t.encode() for t in COMMON])
+    return x.select("doc_id", F.transform("tokens", lambda t: F.hex(t)).alias("tokens"))
 
 
 @query("canonical_encoding")
 def canonical_encoding(spark, folder):
-    """Byte-pair encoding of the benchmark texts, and that it decodes to the same bytes."""
-    tokens = [*learner.BYTES, *(t.encode() for t in COMMON)]
-    x = segment.encode_texts(benchmark(spark, folder), tokens, "item_id")
+    """Byte-pair encoding of the documents, and that it decodes to the same bytes."""
+    tokens, data = [*learner.BYTES, *(t.encode() for t in COMMON)], corpus(spark, folder)
+    x = segment.encode_texts(data, tokens)
     vocab = spark.createDataFrame(list(enumerate(tokens)), "token_id int, token binary").dropDuplicates(["token_id"])
-    back = segment.decode_tokens(x, vocab, "item_id").withColumnRenamed("data", "back")
-    return x.join(back, "item_id").join(benchmark(spark, folder), "item_id").select("item_id", F.size("token_ids").alias("n_tokens"), (F.col("back") == F.col("data")).alias("same"))
+    back = segment.decode_tokens(x, vocab).withColumnRenamed("data", "back")
+    same = F.coalesce("back", F.lit(b"")) == F.col("data")  # an empty text has no tokens
+    return x.join(data, "doc_id").join(back, "doc_id", "left").select("doc_id", F.size("token_ids").alias("n_tokens"), same.alias("same"))
 
 
 # ---------------------------------------------------------------- codecs
@@ -444,21 +449,26 @@ def removal_loss(spark, folder):
     return x.select(F.decode("token", "utf-8").alias("token"), "n_occurrences", "loss")
 
 
+def _learnt(spark, folder) -> tuple[DataFrame, list[bytes]]:
+    """The documents, dealt to all cores, and their 20 most frequent grams of each of five lengths."""
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    data = written(corpus(spark, folder).repartition(parts), "learn")
+    return data, [bytes(r["gram"]) for r in grams.top_grams(grams.gram_counts(data, [2, 3, 4, 5, 6]), 20).collect()]
+
+
 @query("vocab_learn_step")
 def vocab_learn_step(spark, folder):
-    """The first tokens that join a vocabulary of single bytes, from the part names' most frequent grams."""
-    data = names(spark, folder)
-    rows = grams.top_grams(grams.gram_counts(data, [2, 3, 4, 5, 6]), 20).collect()  # 20 of each length
+    """The first tokens that join a vocabulary of single bytes, from the documents' most frequent grams."""
+    data, candidates = _learnt(spark, folder)
     state = learner.State()
-    learner.grow(data, state, [bytes(r["gram"]) for r in rows])
+    learner.grow(data, state, candidates)
     return spark.createDataFrame([(s, a.decode("latin-1"), e) for s, a, _, e in state.history], "step int, added string, savings double")
 
 
 @query("vocab_learn")
 def vocab_learn(spark, folder):
-    data = names(spark, folder)
-    rows = grams.top_grams(grams.gram_counts(data, [2, 3, 4, 5, 6]), 20).collect()
-    state = learner.learn(data, [bytes(r["gram"]) for r in rows], 280, 8)
+    data, candidates = _learnt(spark, folder)
+    state = learner.learn(data, candidates, 280, 8)
     return spark.createDataFrame([(i, t) for i, t in enumerate(state.vocab)], "token_id int, token binary").select("token_id", F.hex("token").alias("token"))
 
 
@@ -469,7 +479,8 @@ def bpe_pair_counts(spark, folder):
 
 
 def _weighted(spark, folder):
-    return table(spark, folder, "part").select(F.col("p_name").alias("content"), F.col("p_size").alias("frequency"))
+    """The distinct byte-level pre-segments of the documents with their counts."""
+    return segment.segment_counts(table(spark, folder, "documents")).select(F.col("segment").alias("content"), F.col("n").alias("frequency"))
 
 
 @query("bpe_train")
@@ -480,7 +491,7 @@ def bpe_train(spark, folder):
 
 @query("bpe_war")
 def bpe_war(spark, folder):
-    """Worth of each of twelve merged tokens over the weighted part names."""
+    """Worth of each of twelve merged tokens over the documents' weighted pre-segments."""
     tokens, seg = bpe.train(_weighted(spark, folder), 12)
     return bpe.worth(seg, tokens)
 
@@ -582,8 +593,9 @@ def cumulative_position(spark, folder):
 
 @query("invariant_encoding")
 def invariant_encoding(spark, folder):
-    """The first 16 lattice tokens of each part name with order, number of ancestors and position."""
-    return lattice.encoding(names(spark, folder), dictionary(PIECES), _params(spark), 16, "p_partkey").select("p_partkey", "slot", "token_id", "start1", "n_ancestors", F.round("position", 8).alias("position"))
+    """The first 16 lattice tokens of each document with order, number of ancestors and position."""
+    params = spark.createDataFrame([(i, (i + 1) / 10.0) for i in range(len(COMMON))], "token_id int, param double")
+    return lattice.encoding(corpus(spark, folder), dictionary(COMMON), params, 16).select("doc_id", "slot", "token_id", "start1", "n_ancestors", F.round("position", 8).alias("position"))
 
 
 @query("spell_loss", """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings WHERE label <> 0),
@@ -754,3 +766,149 @@ def tokenset_file_roundtrip(spark, folder):
         x = tokensets.read_tokens(spark.createDataFrame([(name, raw)], "name string, content binary"), name)
         out = x if out is None else out.unionByName(x)
     return out.select("name", "len", F.hex("token").alias("token"), "n")
+
+
+# ---------------------------------------------------------------- the same over the documents
+
+#: Spells every text. SQL for covers (by recursion) and matches is too slow on whole documents; tests compare with brute force.
+SPELLING = [*learner.BYTES, *(t.encode() for t in COMMON)]
+_SEGMENTS = f"SELECT unnest(regexp_extract_all(text, {_PLAIN})) AS w FROM documents"
+
+
+@query("ngram_nonoverlap_counts_documents", f"""WITH t AS (SELECT gram, count(*) AS n_total FROM ({gram_sql(2)}) GROUP BY gram ORDER BY n_total DESC, gram LIMIT 50),
+y AS (SELECT regexp_replace(hex(encode(text)), '(..)', '\\1,', 'g') AS y FROM documents)
+SELECT gram, n_total, {apart_sql(2)} AS n_nonoverlap FROM t, y GROUP BY gram, n_total""")
+def ngram_nonoverlap_counts_documents(spark, folder):
+    return grams.miner(corpus(spark, folder), [2], 50).select(F.hex("gram").alias("gram"), "n_total", "n_nonoverlap")
+
+
+@query("ngram_counts_streaming_documents", f"SELECT gram, count(*) AS n FROM ({gram_sql(3)}) GROUP BY gram")
+def ngram_counts_streaming_documents(spark, folder):
+    return _streamed(spark, f"{folder}/documents.parquet", "gram_counts_stream_documents")
+
+
+_COUNTED_DOCS = f"c AS (SELECT len, gram AS token, count(*) AS n FROM ({' UNION ALL '.join(gram_sql(n) for n in (1, 2, 3, 4))}) GROUP BY len, gram)"
+
+
+def _counted_documents(spark, folder) -> DataFrame:
+    return grams.gram_counts(corpus(spark, folder), [1, 2, 3, 4]).select("len", F.col("gram").alias("token"), "n")
+
+
+@query("tokenset_length_histogram_documents", f"WITH {_COUNTED_DOCS} SELECT len, count(*) AS n, count(*) * 100.0 / sum(count(*)) OVER () AS share FROM c GROUP BY len")
+def tokenset_length_histogram_documents(spark, folder):
+    return tokenset.length_histogram(_counted_documents(spark, folder))
+
+
+@query("tokenset_top_n_documents", f"WITH {_COUNTED_DOCS} SELECT token, n FROM c WHERE n >= 5 ORDER BY n DESC, token LIMIT 50")
+def tokenset_top_n_documents(spark, folder):
+    return tokenset.top_tokens(_counted_documents(spark, folder), 50, 5).select(F.hex("token").alias("token"), "n")
+
+
+@query("tokenset_summary_documents", f"WITH {_COUNTED_DOCS} SELECT count(*) AS n_tokens, max(n) AS max_count, min(n) AS min_count, sum(n)::BIGINT AS sum_count, avg(n) AS mean_count, count(*) FILTER (len > 1) AS n_multi_byte FROM c")
+def tokenset_summary_documents(spark, folder):
+    return tokenset.summary(_counted_documents(spark, folder))
+
+
+@query("dictionary_matches_documents")
+def dictionary_matches_documents(spark, folder):
+    return matching.matches(corpus(spark, folder), dictionary(COMMON))
+
+
+@query("dictionary_matches_past_end_documents")
+def dictionary_matches_past_end_documents(spark, folder):
+    return matching.matches(corpus(spark, folder), dictionary(COMMON), past_end=True)
+
+
+@query("first_match_position_documents")
+def first_match_position_documents(spark, folder):
+    return matching.first_places(matching.matches(corpus(spark, folder), dictionary(COMMON)))
+
+
+@query("pre_segments_documents", f"SELECT doc_id, (unnest(range(len(s))) + 1)::INT AS pos, unnest(s) AS segment FROM (SELECT doc_id, regexp_extract_all(text, {_PLAIN}) AS s FROM documents)")
+def pre_segments_documents(spark, folder):
+    d = table(spark, folder, "documents")
+    return d.select("doc_id", F.posexplode(segment.pre_segments(F.col("text"), segment.PLAIN_SEGMENT)).alias("pos", "segment")).withColumn("pos", F.col("pos") + 1)
+
+
+@query("optimal_segmentation_cost_documents")
+def optimal_segmentation_cost_documents(spark, folder):
+    return segment.covers(corpus(spark, folder), matching.Dictionary(SPELLING)).select("doc_id", "n_tokens")
+
+
+@query("corpus_token_total_documents")
+def corpus_token_total_documents(spark, folder):
+    return segment.cover_total(segment.covers(corpus(spark, folder), matching.Dictionary(SPELLING)))
+
+
+@query("utf8_lax_validity_documents", f"""SELECT gram, regexp_matches(x, '^([0-7].,|[CD].,[89AB].,|E.,([89AB].,){{2}}|F[0-7],([89AB].,){{3}})*$') AS valid FROM (SELECT DISTINCT gram, regexp_replace(gram, '(..)', '\\1,', 'g') AS x FROM ({gram_sql(3)}))""")
+def utf8_lax_validity_documents(spark, folder):
+    return grams.gram_counts(corpus(spark, folder), [3]).select(F.hex("gram").alias("gram"), B.lax_utf8(F.col("gram")).alias("valid"))
+
+
+@query("escape_roundtrip_documents", f"SELECT gram, true AS same FROM ({gram_sql(3)}) GROUP BY gram")
+def escape_roundtrip_documents(spark, folder):
+    g = grams.gram_counts(corpus(spark, folder), [3])
+    return g.select(F.hex("gram").alias("gram"), (codec.unescape_udf(codec.escape_udf("gram")) == F.col("gram")).alias("same"))
+
+
+_ASKED_DOCS = [t.encode() for t in COMMON]
+
+
+@query("candidate_savings_documents")
+def candidate_savings_documents(spark, folder):
+    x = learner.candidate_savings(corpus(spark, folder), learner.BYTES, _ASKED_DOCS)
+    return x.select(F.hex("token").alias("token"), "n_occurrences", "savings")
+
+
+@query("removal_loss_documents")
+def removal_loss_documents(spark, folder):
+    x = learner.removal_loss(corpus(spark, folder), SPELLING, _ASKED_DOCS)
+    return x.select(F.hex("token").alias("token"), "n_occurrences", "loss")
+
+
+@query("bpe_pair_counts_documents", f"""WITH s AS (SELECT regexp_extract_all(hex(encode(w)), '..') AS z FROM ({_SEGMENTS})), p AS (SELECT z, unnest(range(1, len(z))) AS i FROM s WHERE len(z) > 1)
+SELECT chr(('0x' || z[i])::INT) AS "first", chr(('0x' || z[i + 1])::INT) AS "second", count(*) AS n FROM p GROUP BY ALL""")
+def bpe_pair_counts_documents(spark, folder):
+    s = segment.segment_counts(table(spark, folder, "documents"), pattern=segment.PLAIN_SEGMENT)
+    return bpe.pair_counts(bpe.segments(s, "segment", "n"))
+
+
+@query("all_paths_bpb_documents")
+def all_paths_bpb_documents(spark, folder):
+    """Every path of the documents over single bytes and common tokens, all equally probable."""
+    x = bpb.all_paths_bpb(corpus(spark, folder), SPELLING, [1 / len(SPELLING)] * len(SPELLING))
+    return x.select("doc_id", "n_bytes", F.round("bpb", 8).alias("bpb"))
+
+
+def _lattice_documents(spark, folder) -> DataFrame:
+    return lattice.lattice(corpus(spark, folder), dictionary(COMMON))
+
+
+@query("token_lattice_documents")
+def token_lattice_documents(spark, folder):
+    return lattice.end_positions(_lattice_documents(spark, folder))
+
+
+@query("ancestor_counts_documents")
+def ancestor_counts_documents(spark, folder):
+    return lattice.ancestor_counts(_lattice_documents(spark, folder))
+
+
+@query("non_dominated_tokens_documents")
+def non_dominated_tokens_documents(spark, folder):
+    return lattice.non_dominated(_lattice_documents(spark, folder))
+
+
+def _byte_means_documents(spark, folder) -> DataFrame:
+    params = spark.createDataFrame([(i, (i + 1) / 10.0) for i in range(len(COMMON))], "token_id int, param double")
+    return lattice.byte_means(lattice.non_dominated(_lattice_documents(spark, folder)), params)
+
+
+@query("byte_coverage_mean_documents")
+def byte_coverage_mean_documents(spark, folder):
+    return _byte_means_documents(spark, folder).select("doc_id", "byte", F.round("mean", 9).alias("mean"))
+
+
+@query("cumulative_position_documents")
+def cumulative_position_documents(spark, folder):
+    return lattice.cumulative(_lattice_documents(spark, folder), _byte_means_documents(spark, folder)).withColumn("position", F.round("position", 8))
