@@ -20,7 +20,7 @@ from ._common import bound_batches, flat, held_out, slices, table
 
 #: Labelled rows of each language that the fit reads, about (whole texts; chosen by a hash of the id).
 ROWS_PER_LANGUAGE = 400
-#: Languages with the most labelled rows that are learned.
+#: Languages whose tables are held at once; more are scored in blocks of so many.
 LANGUAGES = 64
 #: Distinct bytes that have a code of their own; the rest share one.
 SYMBOLS = 95
@@ -42,51 +42,56 @@ def fold(data: np.ndarray, off: np.ndarray | None = None) -> np.ndarray:
 
 
 class Model:
-    """Code lengths in bits, for all languages at once."""
+    """Code lengths in bits, for all languages; symbols and contexts are shared by all of them."""
 
-    def __init__(self, langs: list[str], counts: dict[str, dict[int, int]]):
-        """counts: for each language, byte 4-gram (big-endian) -> count over the training texts."""
+    def __init__(self, langs: list[str], counts: dict):
+        """counts: for each language, byte 4-gram (big-endian) -> count over the training texts, or two arrays of these."""
         self.langs = langs
+        pairs = [c if isinstance(c, tuple) else (np.fromiter(c.keys(), np.int64, len(c)), np.fromiter(c.values(), np.float64, len(c))) for c in (counts[x] for x in langs)]
         total = np.zeros(256)
-        for c in counts.values():
-            for g, n in c.items():
-                total[g & 255] += n
+        for keys, n in pairs:
+            total += np.bincount(keys & 255, n, 256)
         order = [int(b) for b in np.argsort(-total, kind="stable") if total[b] > 0][:SYMBOLS]
         self.code = np.zeros(256, np.uint8)  # 0: any other byte
         self.code[order] = np.arange(1, len(order) + 1)
         a = self.a = len(order) + 1
-        rest = np.log2(max(1, 256 - len(order)))
-        n_langs = len(langs)
+        self.rest = np.log2(max(1, 256 - len(order)))
         seen: dict[int, int] = {}
-        grams = []
-        for lang in langs:
-            keys = np.fromiter(counts[lang].keys(), np.int64, len(counts[lang]))
-            n = np.fromiter(counts[lang].values(), np.float64, len(counts[lang]))
+        self.grams = []
+        for keys, n in pairs:
             k = np.zeros(len(keys), np.int64)
             for shift in (24, 16, 8, 0):
                 k = k * a + self.code[(keys >> shift) & 255]
             u, at = np.unique(k, return_inverse=True)
-            grams.append((u, np.bincount(at, n, len(u))))
-            for c, m in zip(*self._sums(u // a, grams[-1][1]), strict=True):
+            self.grams.append((u, np.bincount(at, n, len(u))))
+            for c, m in zip(*self._sums(u // a, self.grams[-1][1]), strict=True):
                 seen[int(c)] = seen.get(int(c), 0) + m
         deep = sorted(seen, key=lambda c: (-seen[c], c))[:CONTEXTS]
         self.row = np.full(a**3, -1, np.int32)
         self.row[deep] = np.arange(len(deep))
-        self.shallow = np.empty((a**3, n_langs), np.float32)
-        self.deep = np.empty((len(deep) * a, n_langs), np.float32)
+        self.contexts = np.array(deep, np.int64)
+        self.tables = None
+        if len(langs) <= LANGUAGES:
+            self.tables, self.grams = self._tables(self.grams), []
+
+    def _tables(self, grams):
+        """(shallow, deep) of some languages: code lengths by the last two and by the last three bytes."""
+        a, ctx = self.a, self.contexts
+        shallow = np.empty((a**3, len(grams)), np.float32)
+        deep = np.empty((len(ctx) * a, len(grams)), np.float32)
         for i, (u, n) in enumerate(grams):
             cost = np.full(a, np.log2(a))  # order -1: uniform over codes
             cost = self._order(np.zeros(1, np.int64), cost[None, :], u % a, n, 1)[0]
             cost = self._order(np.arange(a), np.tile(cost, (a, 1)), u % a**2, n, a)
             two = self._order(np.arange(a * a), np.tile(cost, (a, 1)), u % a**3, n, a * a)
-            ctx = np.array(deep, np.int64)
             three = two[ctx % (a * a)]
             inside = self.row[u // a] >= 0
             three = self._order(ctx, three, u[inside], n[inside], None, self.row)
-            two[:, 0] += rest
-            three[:, 0] += rest
-            self.shallow[:, i] = two.reshape(-1)
-            self.deep[:, i] = three.reshape(-1)
+            two[:, 0] += self.rest
+            three[:, 0] += self.rest
+            shallow[:, i] = two.reshape(-1)
+            deep[:, i] = three.reshape(-1)
+        return shallow, deep
 
     @staticmethod
     def _sums(keys, n):
@@ -108,7 +113,12 @@ class Model:
 
     def bits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Code length of each row of bytes under each language."""
-        out = np.zeros((len(off) - 1, len(self.langs)))
+        if self.tables is not None:
+            return self._bits(data, off, *self.tables)
+        return np.concatenate([self._bits(data, off, *self._tables(self.grams[k : k + LANGUAGES])) for k in range(0, len(self.langs), LANGUAGES)], 1)
+
+    def _bits(self, data: np.ndarray, off: np.ndarray, shallow: np.ndarray, deep: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(off) - 1, shallow.shape[1]))
         for x, y in slices(off, 1 << 19):
             for lo in range(off[x], off[y], 1 << 19):  # a long row in pieces
                 hi = min(off[y], lo + (1 << 19))
@@ -132,11 +142,11 @@ class Model:
                 sym = c[skip:]
                 ctx = (prev[2] * self.a + prev[1]) * self.a + prev[0]
                 row = self.row[ctx]
-                cost = self.shallow[(ctx % (self.a * self.a)) * self.a + sym]
+                cost = shallow[(ctx % (self.a * self.a)) * self.a + sym]
                 known = row >= 0
-                cost[known] = self.deep[row[known] * np.int64(self.a) + sym[known]]
+                cost[known] = deep[row[known] * np.int64(self.a) + sym[known]]
                 edge = np.clip(off[x : y + 1] - lo, 0, n)
-                run = np.zeros((n + 1, len(self.langs)))
+                run = np.zeros((n + 1, shallow.shape[1]))
                 np.cumsum(cost, axis=0, dtype=np.float64, out=run[1:])
                 out[x:y] += run[edge[1:]] - run[edge[:-1]]
         return out
@@ -173,16 +183,17 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     spark = docs.sparkSession
     bound_batches(spark)
     rows_in = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
-    per = rows_in.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    per = rows_in.groupBy(F.col(lang).alias("lang")).count().collect()
     if not per:
         return None
-    share = F.create_map(*[x for r in per for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["count"])))])
+    share = spark.createDataFrame([(r["lang"], min(1.0, rows / r["count"])) for r in per], "_lang string, _share double")
     dice = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(9)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows_in.filter(dice < F.coalesce(share[F.col(lang)], F.lit(0.0)))
-    counts: dict[str, dict[int, int]] = {}
-    got = gram_counts(sample, lang, text).toArrow()
-    for name, g, n in zip(got["lang"].to_pylist(), got["gram"].to_pylist(), got["n"].to_pylist(), strict=True):
-        counts.setdefault(name, {})[g] = n
+    sample = rows_in.join(F.broadcast(share), F.col(lang) == F.col("_lang")).filter(dice < F.col("_share"))
+    got = gram_counts(sample, lang, text).toArrow().sort_by("lang")
+    names, first = np.unique(np.array(got["lang"].to_pylist(), object), return_index=True)
+    keys, n = got["gram"].to_numpy(), got["n"].to_numpy().astype(np.float64)
+    edges = [*first.tolist(), len(keys)]
+    counts = {str(x): (keys[i:j], n[i:j]) for x, i, j in zip(names, edges[:-1], edges[1:], strict=True)}
     return Model(sorted(counts), counts) if counts else None
 
 

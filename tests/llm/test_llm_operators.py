@@ -571,6 +571,26 @@ def test_language_on_odd_rows(spark, odd, none):
     assert stage.columns == odd.columns and stage.filter("text is null or trim(text) = ''").count() == 0 and stage.count() >= 7
 
 
+def test_every_labelled_language_is_learned(spark):
+    draw, rows, texts = random.Random(4), [], {}
+    for k in range(70):  # made-up languages, the last two with fewer rows
+        words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(6)]
+        rows += [(100 * k + i, " ".join(draw.choices(words, k=30)), f"l{k:02}") for i in range(3 if k < 68 else 2)]
+        texts[f"l{k:02}"] = " ".join(draw.choices(words, k=30))
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted(texts) and model.tables is None
+    got = language_id.identify(spark.createDataFrame(list(texts.items()), "lang string, text string").coalesce(1), model).collect()
+    assert len(got) == 70 and all(r["lang_pred"] == r["lang"] for r in got)
+
+
+def test_blocks_of_languages_score_the_same(monkeypatch):
+    counts = {x: Counter(int.from_bytes(t[i : i + 4], "big") for i in range(len(t) - 3)) for x, t in {"x": b"the cat sat", "y": b"le chat noir", "z": b"die katze"}.items()}
+    t = np.frombuffer(b"the chat katze", np.uint8)
+    whole = language_id.Model(["x", "y", "z"], counts).bits(t, np.array([0, 8, 14]))
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    assert np.array_equal(language_id.Model(["x", "y", "z"], counts).bits(t, np.array([0, 8, 14])), whole)
+
+
 # ---------------------------------------------------------------- 10 WARC
 
 
