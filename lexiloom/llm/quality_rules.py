@@ -23,6 +23,8 @@ RULES = (
     ("stop_word_ratio", 0.02, None),
     ("dup_line_ratio", None, 0.70),
     ("bare_line_ratio", None, 0.95),
+    ("distinct_line_ratio", 0.05, None),
+    ("mean_line_words", 1.0, None),
 )
 
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -71,6 +73,8 @@ def ratios() -> dict[str, Column]:
         "stop_word_ratio": F.col("_stops") / n,
         "dup_line_ratio": F.col("n_dup_lines") / lines,
         "bare_line_ratio": F.col("_bare") / lines,
+        "distinct_line_ratio": (F.col("_n_lines") - F.col("n_dup_lines")) / lines,
+        "mean_line_words": F.col("n_words") / lines,
     }
 
 
@@ -88,21 +92,25 @@ def verdict(rules=RULES) -> Column:
 def quality_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept to ``docs``.
 
-    Null and empty texts have no words, fail the base and are not kept. Columns of ``docs`` that
-    bear one of these names are replaced. A 64-bit hash stands for each window of eight words.
+    Null and empty texts have no words, fail the base and are not kept. Rows are looked at one by one, so repeated
+    rows get equal results and an empty table an empty one. Columns of ``docs`` that bear one of these names are
+    replaced, all others are kept whatever they are called. A 64-bit hash stands for each window of eight words.
     """
-    x = docs.withColumn("_text", F.col(text))
+    # the caller's columns travel inside one struct, so that none of them meets a name used here
+    x = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_given"), F.col(text).alias("_text"))
     for layer in base_metrics(F.col("_text")):
         x = x.withColumns(layer)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     x = x.withColumn("base_failed", failed)
     x = x.withColumn("kept", ~F.col("base_failed") & verdict(rules))
     # a filter on a result must not be pushed below the layers: it would repeat their expressions
-    given = [c for c in docs.columns if c not in RESULTS]
+    given = [F.col("_given")[c].alias(c) for c in docs.columns if c not in RESULTS]
     return x.select(*given, F.inline(F.array(F.struct(*RESULTS))))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept of every whole text of
+    ``documents``; nulls, empty texts and repeated rows as in ``quality_rules``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -124,5 +132,6 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\
     FROM w LEFT JOIN n USING (id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, greatest(n_words, 1) AS nw, greatest(n_lines, 1) AS nl FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words <= 1000000
-    AND word_chars / nw BETWEEN 1.5 AND 25.0 AND n_symbols / nw <= 0.30 AND stops / nw >= 0.02 AND n_dup_lines / nl <= 0.70 AND bare / nl <= 0.95 AS kept FROM b
+    AND word_chars / nw BETWEEN 1.5 AND 25.0 AND n_symbols / nw <= 0.30 AND stops / nw >= 0.02 AND n_dup_lines / nl <= 0.70 AND bare / nl <= 0.95
+    AND (n_lines - n_dup_lines) / nl >= 0.05 AND n_words / nl >= 1.0 AS kept FROM b
 """.replace("STOPS", _sql_list(STOP_WORDS))

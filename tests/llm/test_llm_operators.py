@@ -301,8 +301,11 @@ def brute_rules(text):
 
 
 def test_rules_on_odd_rows(spark, odd):
-    clash = odd.withColumn("n_words", F.lit("x")).withColumn("kept", F.lit(1)).withColumn("_words", F.lit(2))
-    for r in quality_rules.quality_rules(clash.drop("_words")).collect():
+    clash = odd.withColumn("n_words", F.lit("x")).withColumn("kept", F.lit(1))
+    for name in ("_words", "_lines", "_text", "_at", "_given", "_hashes", "a.b"):
+        clash = clash.withColumn(name, F.concat(F.lit(name), F.col("doc_id")))
+    for r in quality_rules.quality_rules(clash).collect():
+        assert all(r[name] == (None if r["doc_id"] is None else f"{name}{r['doc_id']}") for name in ("_words", "_lines", "_text", "_at", "_given", "_hashes", "a.b"))
         want = brute_rules(r["text"])
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
         assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r["base_failed"] and r["kept"])
