@@ -504,70 +504,51 @@ def test_language_held_out(spark):
     assert got.filter("score < 0 or score > 1").count() == 0
 
 
-def test_code_lengths_match_the_definition():
-    text = [b"abracadabra", b"abrakadabra alakazam"]
-    counts = {}
+@pytest.mark.parametrize("order", [1, 3, 5])
+def test_code_lengths_match_the_definition(order):
+    text = [b"abracadabra", b"abrakadabra alakazam" + "çaçá жук".encode()]
+    pad, counts = b" " * order, {}
     for lang, t in zip("xy", text, strict=True):
-        counts[lang] = Counter(int.from_bytes((b"   " + t)[i : i + 4], "big") for i in range(len(t)))
-    model = language_id.Model(["x", "y"], counts)
-    symbols = {b for t in text for b in t}
-    a = len(symbols) + 1
-
-    def cost(lang, ctx, b):
-        for n in (3, 2, 1, 0):
-            seen = Counter()
-            for g, k in counts[lang].items():
-                g = g.to_bytes(4, "big")
-                if g[3 - n : 3] == ctx[3 - n :]:
-                    seen[g[3]] += k
-            if not seen:
-                continue
-            total, kinds = sum(seen.values()), len(seen)
-            if b in seen:
-                return np.log2((total + kinds) / seen[b])
-            return np.log2((total + kinds) / kinds) + (cost_lower(lang, ctx, b, n - 1))
-        return base(b)
-
-    def cost_lower(lang, ctx, b, n):
+        counts[lang] = Counter(int.from_bytes((pad + t)[i : i + order + 1], "big") for i in range(len(t)))
+    model = language_id.Model(["x", "y"], counts, order)
+
+    def cost(lang, ctx, b, n=order):
         if n < 0:
-            return base(b)
+            return 8.0
         seen = Counter()
         for g, k in counts[lang].items():
-            g = g.to_bytes(4, "big")
-            if g[3 - n : 3] == ctx[3 - n :]:
-                seen[g[3]] += k
+            g = g.to_bytes(order + 1, "big")
+            if g[order - n : order] == ctx[order - n :]:
+                seen[g[order]] += k
         if not seen:
-            return cost_lower(lang, ctx, b, n - 1)
+            return cost(lang, ctx, b, n - 1)
         total, kinds = sum(seen.values()), len(seen)
-        return np.log2((total + kinds) / seen[b]) if b in seen else np.log2((total + kinds) / kinds) + cost_lower(lang, ctx, b, n - 1)
-
-    def base(b):
-        return np.log2(a) + (0 if b in symbols else np.log2(256 - len(symbols)))
+        return np.log2((total + kinds) / seen[b]) if b in seen else np.log2((total + kinds) / kinds) + cost(lang, ctx, b, n - 1)
 
-    known = {b for b in symbols if any((g & 255) == b for c_ in counts.values() for g in c_)}
-    assert known == symbols
-    for t in (b"abra", b"zebra kad", b"", b"\xff\xfea"):
+    for t in (b"abra", b"zebra kad", b"", b"\xff\xfea", "жç".encode()):
         data = np.frombuffer(t, np.uint8)
         got = model.bits(data, np.array([0, len(t)]))[0]
         for k, lang in enumerate("xy"):
-            want = sum(cost(lang, (b"   " + t)[i : i + 3], t[i]) for i in range(len(t)))
+            want = sum(cost(lang, (pad + t)[i : i + order], t[i]) for i in range(len(t)))
             assert got[k] == pytest.approx(want, rel=1e-4)
 
 
 def test_long_rows_score_the_same_in_pieces(monkeypatch):
-    counts = {"x": Counter(int.from_bytes(b"the cat sat on the mat"[i : i + 4], "big") for i in range(19)), "y": Counter({int.from_bytes(b"zzzz", "big"): 3})}
-    model = language_id.Model(["x", "y"], counts)
-    t = [b"the cat", b"", b"sat on the mat the cat", b"zz"]
+    texts = {"x": b"   the cat sat on the mat \xc3\xa9t\xc3\xa9", "y": b"zzzzz"}
+    model = language_id.Model(["x", "y"], {k: Counter(int.from_bytes(t[i : i + 4], "big") for i in range(len(t) - 3)) for k, t in texts.items()}, 3)
+    t = [b"the cat", b"", "sat on THE mat, ÉTÉ the cat".encode(), b"zz", b"\x9f", b"\xc3", b"\x89"]
     off = np.array([0, *np.cumsum([len(x) for x in t])])
-    whole = model.bits(np.frombuffer(b"".join(t), np.uint8), off)
     alone = np.concatenate([model.bits(np.frombuffer(x, np.uint8), np.array([0, len(x)])) for x in t])
-    assert np.allclose(whole, alone, atol=1e-3)
+    for piece in (1 << 19, 13, 5, 1):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        monkeypatch.setattr(language_id, "slices", lambda o, limit: c.slices(o, limit))
+        assert np.allclose(model.bits(np.frombuffer(b"".join(t), np.uint8), off), alone, atol=1e-3), piece
 
 
 def test_language_on_odd_rows(spark, odd, none):
     model = language_id.fit(odd)
-    got = language_id.identify(odd.withColumn("score", F.lit("x")), model)
-    assert got.count() == 14 and got.filter("lang_pred = 'und'").select("doc_id").distinct().count() == 3
+    got = language_id.identify(odd.withColumn("score", F.lit("x")).withColumn("_letter", F.lit(1)).withColumn("a.b", F.lit(2)), model)
+    assert got.count() == 14 and got.filter("lang_pred = 'und'").select("doc_id").distinct().count() == 3 and {"_letter", "a.b"} <= set(got.columns)
     assert language_id.fit(none) is None and language_id.identify(none, None).count() == 0
     assert {r["lang_pred"] for r in language_id.identify(odd, None).collect()} == {"und"}
     stage = language_id.stage_language(spark, odd, "")
@@ -581,17 +562,49 @@ def test_every_labelled_language_is_learned(spark):
         rows += [(100 * k + i, " ".join(draw.choices(words, k=30)), f"l{k:02}") for i in range(3 if k < 68 else 2)]
         texts[f"l{k:02}"] = " ".join(draw.choices(words, k=30))
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert model.langs == sorted(texts) and model.tables is None
+    assert model.langs == sorted(texts) and model.size() < 70 * 100_000
     got = language_id.identify(spark.createDataFrame(list(texts.items()), "lang string, text string").coalesce(1), model).collect()
     assert len(got) == 70 and all(r["lang_pred"] == r["lang"] for r in got)
 
 
-def test_blocks_of_languages_score_the_same(monkeypatch):
-    counts = {x: Counter(int.from_bytes(t[i : i + 4], "big") for i in range(len(t) - 3)) for x, t in {"x": b"the cat sat", "y": b"le chat noir", "z": b"die katze"}.items()}
-    t = np.frombuffer(b"the chat katze", np.uint8)
-    whole = language_id.Model(["x", "y", "z"], counts).bits(t, np.array([0, 8, 14]))
-    monkeypatch.setattr(language_id, "LANGUAGES", 2)
-    assert np.array_equal(language_id.Model(["x", "y", "z"], counts).bits(t, np.array([0, 8, 14])), whole)
+SCRIPTS = {"ru": range(0x430, 0x450), "uk": [*range(0x430, 0x44A), 0x456, 0x457, 0x491], "zh": range(0x4E00, 0x4F00), "ja": [*range(0x3041, 0x3090), *range(0x4E80, 0x4EA0)], "ar": range(0x627, 0x64B), "fa": [*range(0x627, 0x63B), 0x67E, 0x686, 0x6AF], "en": range(0x61, 0x7B)}
+
+
+def scripts(draw, each):
+    """(lang, text): made-up texts of languages in several scripts; some share theirs."""
+    for lang, letters in SCRIPTS.items():
+        words = ["".join(chr(x) for x in draw.choices(list(letters), k=4)) for _ in range(80)]
+        yield from ((lang, " ".join(draw.choices(words, k=60))) for _ in range(each))
+
+
+def test_mixed_scripts_are_told_apart(spark):
+    rows = [(i, t, x) for i, (x, t) in enumerate(scripts(random.Random(3), 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df.filter("doc_id % 4 <> 0"))
+    got = language_id.identify(df.filter("doc_id % 4 = 0"), model).collect()
+    assert model.langs == sorted(SCRIPTS) and all(r["lang_pred"] == r["lang"] and r["likely"] for r in got)
+
+
+def test_the_sample_of_all_languages_is_bounded(spark):
+    rows = [(i, f"text number {i} of some words", f"l{i % 5}") for i in range(1000)]
+    counts = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=100, order=2)
+    assert len(counts.langs) == 5 and counts.size() < 40_000
+
+
+def test_the_language_stage_drops_junk_and_foreign_scripts_and_keeps_clean_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    draw = random.Random(9)
+    noise = ["".join(chr(draw.randrange(33, 127)) for _ in range(400)) for _ in range(10)] + ["".join(draw.choices("bcdfghjklmnpqrstvwxz", k=500)) for _ in range(10)]
+    foreign = [t for x, t in scripts(draw, 5) if x != "en"]
+    planted = [(1_000_000 + 4 * i, t, None, "src1", len(t)) for i, t in enumerate(noise + foreign)]
+    whole = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    kept = language_id.stage_language(spark, whole, "")
+    assert kept.columns == docs.columns and kept.filter("doc_id >= 1000000").count() == 0
+    good = docs.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1"), "doc_id")
+    assert kept.join(good.select("doc_id"), "doc_id").count() / good.count() >= 0.98 and kept.count() >= 0.95 * docs.count()
+    model = language_id.fit(language_id.learned(docs))
+    assert {r["lang"] for r in language_id.accepted(docs, model, ["en"]).select("lang").distinct().collect()} >= {"en"}
+    assert language_id.accepted(docs, model, ["en"]).filter("lang <> 'en'").count() < 5 and language_id.accepted(docs, None).count() == 1000
 
 
 # ---------------------------------------------------------------- 10 WARC
