@@ -18,46 +18,51 @@ from .ranks import ranked
 BUCKETS = 16
 #: Tokens of a batch, padding included.
 BUDGET = 65_536
-#: Lengths up to here are told apart one by one; longer ones by steps of 1/256 of their size, so the
-#: histogram that the driver receives has a few thousand rows whatever the corpus.
-FINE = 1024
 
 
-def length_class(length):
-    """The upper end of a length's histogram class: the length itself up to FINE, else rounded up to eight leading bits."""
-    bits = F.length(F.bin(F.greatest(length, F.lit(2)) - 1))
-    step = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(bits - 9, F.lit(0)))
-    return F.when(length <= FINE, length).otherwise((F.ceil(length / step) * step).cast("bigint")).cast("bigint")
+def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
+    """Upper ends of at most ``buckets`` buckets over ascending distinct lengths, minimising the padding exactly.
 
-
-def boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, buckets: int = BUCKETS) -> list[int]:
-    """Upper ends of at most ``buckets`` buckets over ascending classes, minimising the padding exactly.
-
-    lengths: upper end of each class; counts and sums: rows and total length in it. Of equal costs
-    the fewest buckets win, then the smaller boundaries.
+    counts: rows of each length. Of equal costs the fewest buckets win, then the smaller boundaries. The cost of a
+    bucket satisfies the quadrangle inequality, so the best last cut never moves back as the end moves on: each layer
+    of the program is filled by halves, in about m log m whole-number steps.
     """
     m = len(lengths)
     if not m:
         return []
-    up = lengths.astype(np.float64)
-    rows, total = np.concatenate([[0], np.cumsum(counts, dtype=np.float64)]), np.concatenate([[0], np.cumsum(sums, dtype=np.float64)])
-    best = np.full(m + 1, np.inf)
-    best[0] = 0
-    back, costs = [], []
-    for _ in range(min(buckets, m)):
-        now, arg = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
-        now[0] = 0
-        for j in range(1, m + 1):
-            cost = best[:j] + up[j - 1] * (rows[j] - rows[:j]) - (total[j] - total[:j])
-            arg[j] = int(cost.argmin())
-            now[j] = cost[arg[j]]
-        best = now
+    up, counts = lengths.astype(np.int64), counts.astype(np.int64)
+    rows = np.concatenate([[0], np.cumsum(counts)])
+    total = np.concatenate([[0], np.cumsum(counts * up)])
+    whole = up * rows[1:] - total[1:]
+    best, back, costs = np.concatenate([[0], whole]), [np.zeros(m + 1, np.int64)], [int(whole[-1])]
+    for _ in range(1, min(buckets, m)):
+        if not costs[-1]:
+            break
+        arg = np.zeros(m + 1, np.int64)
+        now = best.copy()
+        # spans (first, last) of ends still to fill, between known best cuts (low, high)
+        first, last, low, high = (np.array([x], np.int64) for x in (1, m, 0, m - 1))
+        while len(first):
+            mid = (first + last) // 2
+            top = np.minimum(high, mid - 1)
+            n = top - low + 1
+            at = np.cumsum(n) - n
+            cut = np.arange(n.sum()) - np.repeat(at, n) + np.repeat(low, n)
+            end = np.repeat(mid, n)
+            cost = best[cut] + up[end - 1] * (rows[end] - rows[cut]) - (total[end] - total[cut])
+            least = np.minimum.reduceat(cost, at)
+            hit = np.flatnonzero(cost == np.repeat(least, n))
+            chosen = cut[hit[np.searchsorted(hit, at)]]
+            arg[mid], now[mid] = chosen, least
+            left, right = first < mid, mid < last
+            first, last, low, high = (np.concatenate(x) for x in ((first[left], mid[right] + 1), (mid[left] - 1, last[right]), (low[left], chosen[right]), (chosen[left], high[right])))
         back.append(arg)
-        costs.append(best[m])
+        costs.append(int(now[m]))
+        best = now
     k = int(np.argmin(costs))
     out, j = [], m
     for layer in range(k, -1, -1):
-        out.append(int(lengths[j - 1]))
+        out.append(int(up[j - 1]))
         j = int(back[layer][j])
         if j == 0:
             break
@@ -67,28 +72,33 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, bucket
 def pack(docs: DataFrame, length: str = "length", doc_id: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """Add bucket_length, batch_id and batch_row to ``docs`` (any columns, with a whole-number ``length``).
 
-    Rows stand in the order of (length, md5(doc_id), doc_id) in their bucket; batch_id counts from 0
+    Buckets come from the histogram of all distinct lengths, one row each: m distinct lengths need m^2 / 2 words
+    of text at least, so the driver gets no more than the root of twice the corpus's words. Rows stand in the order of
+    (length, md5(doc_id), doc_id) in their bucket; batch_id counts from 0
     in each bucket. A batch holds max(1, budget div bucket_length) rows, so only a row that alone
     passes the budget makes a batch over it. Lengths are >= 0 (null: 0); rows of length 0 are packed
-    too. An empty table gives an empty result.
+    too. Repeated rows are packed each. An empty table gives an empty result. Columns named like a result are replaced,
+    others stay whatever they are called.
     """
-    spark = docs.sparkSession
-    rows = docs.withColumn(length, F.coalesce(F.col(length), F.lit(0)).cast("bigint"))
-    classes = rows.groupBy(length_class(F.col(length)).alias("up")).agg(F.count("*").alias("n"), F.sum(length).alias("s")).orderBy("up").collect()
-    ends = boundaries(*(np.array([r[c] for r in classes], np.int64) for c in ("up", "n", "s")), buckets)
-    if not ends:
-        return rows.withColumns({"bucket_length": F.lit(0).cast("bigint"), "batch_id": F.lit(0).cast("bigint"), "batch_row": F.lit(0).cast("int")})
-    end = F.lit(ends[-1])
+    results = ("bucket_length", "batch_id", "batch_row")
+    cols = [c for c in docs.columns if c not in results]
+    sizes = F.coalesce(F.col(f"`{length}`"), F.lit(0)).cast("bigint")
+    rows = docs.select(F.struct(*[(sizes if c == length else F.col(f"`{c}`")).alias(c) for c in cols]).alias("row"), sizes.alias("size"), F.col(f"`{doc_id}`").alias("id"))
+    hist = rows.groupBy("size").agg(F.count("*").alias("n")).toArrow().sort_by("size")
+    ends = boundaries(hist["size"].to_numpy(), hist["n"].to_numpy(), buckets)
+    end = F.lit(ends[-1] if ends else 0)
     for e in reversed(ends[:-1]):
-        end = F.when(F.col(length) <= e, F.lit(e)).otherwise(end)
-    x = ranked(rows.withColumn("bucket_length", end.cast("bigint")), "bucket_length", length, doc_id, rank="_rank")
+        end = F.when(F.col("size") <= e, F.lit(e)).otherwise(end)
+    x = ranked(rows.withColumn("bucket_length", end.cast("bigint")), "bucket_length", "size", "id", rank="place")
     fit = F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(budget) / F.greatest(F.col("bucket_length"), F.lit(1))))
-    at = F.col("_rank") - 1
-    return x.withColumns({"batch_id": F.floor(at / fit).cast("bigint"), "batch_row": (at % fit).cast("int")}).drop("_rank")
+    at = F.col("place") - 1
+    return x.select(*[F.col("row")[c].alias(c) for c in cols], "bucket_length", F.floor(at / fit).cast("bigint").alias("batch_id"), (at % fit).cast("int").alias("batch_row"))
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch of every document: doc_id, length (words), bucket_length, batch_id in the bucket and row in the batch."""
+    """The batch of every document: doc_id, length (words), bucket_length, batch_id in the bucket and row in the batch.
+
+    Null texts have length 0; repeated rows and empty tables as in ``pack``."""
     docs = table(spark, sf_dir, "documents")
     slim = written(docs.select("doc_id", word_count(F.col("text")).alias("length")), "op4")
     return pack(slim).select("doc_id", "length", "bucket_length", "batch_id", "batch_row")

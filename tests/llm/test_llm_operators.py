@@ -241,6 +241,21 @@ def test_mix_takes_near_its_targets(spark):
     assert mixing.copies(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sf,most", [("0.01", 0.01), ("0.1", 0.002)])
+def test_mix_is_near_its_targets_in_every_source(spark, sf, most):
+    d = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    got = mixing.copies(d).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("n"), F.first("target").alias("t"), F.max("copies").alias("m")).collect()
+    assert len(got) == 20 and all(abs(r["n"] / r["t"] - 1) < most and r["m"] <= 3 for r in got)
+
+
+def test_mix_with_one_huge_text(spark):
+    rows = [(i, "a", 10 + i % 7) for i in range(4000)] + [(9999, "a", 20_000)] + [(10_000 + i, "b", 12) for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    for seed in range(4):
+        got = mixing.copies(df, seed).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("n"), F.first("target").alias("t")).collect()
+        assert all(abs(r["n"] - r["t"]) <= 20 for r in got)
+
+
 def test_mix_of_nothing_but_empties(spark):
     df = spark.createDataFrame([(1, "a", 0), (2, None, 0)], "doc_id long, source string, size long")
     assert [r["copies"] for r in mixing.copies(df).collect()] == [0, 0]
@@ -249,23 +264,46 @@ def test_mix_of_nothing_but_empties(spark):
 # ---------------------------------------------------------------- 4 packing
 
 
-def test_boundaries_are_optimal():
-    from itertools import combinations
+def brute_padding(lengths, counts, buckets):
+    """Least padding of any choice of ends, by the plain quadratic program."""
+    m, best = len(lengths), {0: 0}
+    for _ in range(buckets):
+        now = dict(best)
+        for j in range(1, m + 1):
+            ways = [best[i] + sum(int(counts[x]) * int(lengths[j - 1] - lengths[x]) for x in range(i, j)) for i in range(j) if i in best]
+            now[j] = min([*ways, *([best[j]] if j in best else [])])
+        best = now
+    return best[m]
+
 
+@pytest.mark.parametrize("top", [60, 1_000_000])
+def test_boundaries_are_optimal(top):
     draw = random.Random(2)
     for _ in range(15):
-        n = draw.randint(1, 8)
-        lengths = np.array(sorted(draw.sample(range(1, 60), n)))
+        n = draw.randint(1, 24)
+        lengths = np.array(sorted(draw.sample(range(0, top), n)))
         counts = np.array([draw.randint(1, 9) for _ in lengths])
-        for k in (1, 2, 3, 9):
-            got = packing.boundaries(lengths, counts, lengths * counts, k)
-
-            def cost(ends):
-                return sum(c * (min(e for e in ends if e >= x) - x) for x, c in zip(lengths, counts, strict=True))
-
-            best = min(cost([*e, lengths[-1]]) for m in range(min(k, n)) for e in combinations(lengths[:-1].tolist(), m))
-            assert cost(got) == best and len(got) <= k
-    assert packing.boundaries(*[np.zeros(0, int)] * 3) == []
+        for k in (1, 2, 3, 9, 30):
+            got = packing.boundaries(lengths, counts, k)
+            cost = sum(c * (min(e for e in got if e >= x) - x) for x, c in zip(lengths.tolist(), counts.tolist(), strict=True))
+            assert cost == brute_padding(lengths, counts, k) and len(got) <= k and set(got) <= set(lengths.tolist())
+    assert packing.boundaries(*[np.zeros(0, int)] * 2) == []
+
+
+def test_padded_lengths_are_lengths_of_rows(spark):
+    draw = random.Random(7)
+    sizes = [int(draw.lognormvariate(7, 1.5)) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long")
+    got = packing.pack(df, buckets=8).select("length", "bucket_length").collect()
+    lengths, counts = np.unique(sizes, return_counts=True)
+    pad = sum(r["bucket_length"] - r["length"] for r in got)
+    ends = packing.boundaries(lengths, counts, 8)
+    assert {r["bucket_length"] for r in got} == set(ends) <= set(sizes) and max(sizes) > 1024
+    # no boundary can be moved, added to another place or dropped for less padding
+    for i in range(len(ends) - 1):
+        for other in lengths[:: max(1, len(lengths) // 60)]:
+            e = sorted({*ends[:i], *ends[i + 1 :], int(other)})
+            assert sum(int(e[np.searchsorted(e, x)]) - int(x) for x in sizes) >= pad
 
 
 def test_pack(spark):
@@ -284,9 +322,14 @@ def test_pack(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
-def test_length_classes(spark):
-    x = spark.range(0, 5000).select("id", packing.length_class(F.col("id")).alias("c")).collect()
-    assert all(r["c"] >= r["id"] and (r["id"] > 1024 or r["c"] == r["id"]) and r["c"] <= r["id"] * 1.01 + 1 for r in x)
+def test_packing_and_mixing_keep_columns_of_any_name(spark):
+    names = ["rank", "_rank", "_row", "_g", "_s", "_h", "_b", "s", "k", "row", "u", "r0", "place", "id", "_salt", "_ks", "a.b", "target", "n0", "words2"]
+    rows = [(i, i % 5, f"s{i % 2}", *[f"{n}{i}" for n in names]) for i in range(40)]
+    df = spark.createDataFrame(rows, ["doc_id", "size", "source", *names])
+    for got in (mixing.copies(df), packing.pack(df, length="size"), ranks.ranked(df, "source", "size", "doc_id", rank="rank")):
+        assert got.count() == 40 and len(set(got.columns)) == len(got.columns)
+        for r in got.collect():
+            assert all(r[n] == f"{n}{r['doc_id']}" for n in names if n not in ("rank", "target") or (n == "rank" and "bucket_length" in got.columns))
 
 
 # ---------------------------------------------------------------- 5 quality rules
