@@ -180,6 +180,60 @@ def test_nearest_odd_vectors(spark):
         assert len(v) == 5 and all(s == nearest.exact_cosine(np.array([x[q]], float), np.array([x[i]], float))[0] for i, s in v)
 
 
+def brute_rows(rows, is_query, k=5):
+    """By rows: an id counts once with its best score, for queries and answers alike."""
+    known = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) and all(a is not None and np.isfinite(a) for a in v) and any(v)]
+    best = defaultdict(dict)
+    for q, x in known:
+        if is_query(q):
+            best[q]
+            for i, y in known:
+                if i != q and len(x) == len(y):
+                    best[q][i] = max(best[q].get(i, -9), nearest.exact_cosine(x[None], y[None])[0])
+    return {q: [(i, v) for v, i in sorted((-v, i) for i, v in got.items())[:k]] for q, got in best.items()}
+
+
+@pytest.mark.parametrize("chunk", [4096, 16])
+def test_nearest_repeated_rows_ids_and_vectors(spark, monkeypatch, chunk):
+    monkeypatch.setattr(nearest, "CHUNK_ROWS", chunk)
+    draw = np.random.default_rng(3)
+    rows = [(i, draw.normal(size=4).round(3).tolist()) for i in range(150)]
+    hot = rows[7][1]
+    rows += [(50, rows[50][1]), (50, rows[3][1]), (100, rows[9][1]), (12, rows[13][1]), (12, rows[14][1])]  # repeated rows; ids with several vectors
+    rows += [(1000 + i, hot) for i in range(120)] + [(1050, hot)] * 3  # a hot vector; some copies ask
+    rows += [(2000 + i, draw.normal(size=3).tolist()) for i in range(20)] + [(2050, [1.0, 0.0]), (2100, [float("nan")] * 4)]  # other lengths
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in nearest.search(df, F.col("vec_id") % 50 == 0, target=1.0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert len(got[r["query_id"]]) == r["rank"]
+    want = {q: [(i, -v) for i, v in x] for q, x in brute_rows(rows, lambda q: q % 50 == 0).items()}
+    assert dict(got) == {q: x for q, x in want.items() if x}
+
+
+def test_the_sample_comes_from_all_of_a_sorted_table(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "SAMPLE", 500)
+    monkeypatch.setattr(nearest, "MOST_SAMPLE", 500)
+    seen, draw = [], np.random.default_rng(4)
+    centres = draw.normal(size=(40, 8))
+    rows = [(i, (centres[i // 100] + draw.normal(size=8) * 0.05).tolist()) for i in range(4000)]  # in the order of clusters
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    calibrate = nearest.calibrate
+    monkeypatch.setattr(nearest, "calibrate", lambda tree, x, k, target: seen.append(x) or calibrate(tree, x, k, target))
+    got = defaultdict(set)
+    for r in nearest.search(df, F.col("vec_id") % 20 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    near = (seen[0] @ nearest.unit(centres).T).argmax(1)
+    assert len(seen[0]) == 500 and len(set(near.tolist())) == 40
+    m = nearest.unit(np.array([v for _, v in rows]))
+    hits = 0
+    for q in range(0, 4000, 20):
+        s = m @ m[q]
+        s[q] = -9
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits / 1000 >= 0.9
+
+
 def test_nearest_small_tables(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["rank"], r["vec_id"]) for r in nearest.search(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2), (2, 1)]
