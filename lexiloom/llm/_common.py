@@ -51,20 +51,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
 SALTS = 64
 
 
-def with_counts(rows: DataFrame, keys: list[str], by, name: str) -> DataFrame:
-    """Add ``name``, the number of rows that share ``keys`` (null is a value), without gathering a key's rows in one task.
+def with_group(rows: DataFrame, keys: list[str], by, name: str, part, whole) -> DataFrame:
+    """Add ``name``, an aggregate over the rows that share ``keys`` (null is a value), without gathering a key's rows in one task.
 
-    Rows are salted by a hash of ``by``; counts are added up over salts and sent to the salts that a key has, so
-    the join deals a hot key to SALTS tasks.
+    Rows are salted by a hash of ``by``; ``part`` aggregates a salt's rows and ``whole`` the column ``_n`` of these, and
+    the result is sent to the salts that a key has, so the join deals a hot key to SALTS tasks.
     """
     x = rows.withColumn("_salt", F.pmod(F.xxhash64(by, F.lit(41)), F.lit(SALTS)).cast("int"))
-    part = x.groupBy(*keys, "_salt").agg(F.count("*").alias("_n"))
-    whole = part.groupBy(*keys).agg(F.sum("_n").alias(name), F.collect_set("_salt").alias("_salts"))
-    whole = whole.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], name, F.explode("_salts").alias("_ks"))
+    total = x.groupBy(*keys, "_salt").agg(part.alias("_n")).groupBy(*keys).agg(whole.alias(name), F.collect_set("_salt").alias("_salts"))
+    total = total.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], name, F.explode("_salts").alias("_ks"))
     on = F.col("_salt") == F.col("_ks")
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return x.join(whole, on).select(*rows.columns, name)
+    return x.join(total, on).select(*rows.columns, name)
+
+
+def with_counts(rows: DataFrame, keys: list[str], by, name: str) -> DataFrame:
+    """Add the number of rows that share ``keys``; see ``with_group``."""
+    return with_group(rows, keys, by, name, F.count("*"), F.sum("_n"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
