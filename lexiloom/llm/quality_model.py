@@ -2,8 +2,9 @@
 
 Random indexing: every token has a sparse ternary index vector drawn from its hash; a token's
 context vector is the sum of the index vectors of its left and right neighbours over the whole
-corpus. Tokens are runs of letters, of digits or of other marks, and share ``BUCKETS`` rows by hash,
-so the table has a fixed size. A document pools the vectors of its tokens (mean, spread, and the
+corpus. Tokens are runs of letters, of digits or of other marks. A row of the table is chosen by the token's hash;
+there are ROOT rows for the root of the number of distinct tokens (ROWS at least), so the vocabulary has no bound,
+and the table grows with it, though slowly enough to be sent to every task. A document pools the vectors of its tokens (mean, spread, and the
 step between neighbours); a two-layer numpy network scores it, and one temperature fitted on rows it
 has not seen calibrates the probability.
 """
@@ -17,7 +18,10 @@ from pyspark.sql import functions as F
 
 from ._common import CHUNK, bound_batches, flat, held_out, slices, span_hashes, table
 
-BUCKETS, DIM, NONZERO = 8192, 32, 2
+DIM, NONZERO = 32, 2
+#: Rows of the table of vectors: the power of two from ROOT times the root of the distinct tokens on, ROWS at least.
+#: A million tokens have 16,384 rows (2 MB), ten billion 2,097,152 (268 MB).
+ROWS, ROOT = 8192, 16
 SLABS = 64
 #: Labelled rows that the network and its temperature are fitted on, at most.
 FIT_ROWS = 12_000
@@ -32,9 +36,9 @@ _KIND[48:58] = 2
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each token and its row, for rows of bytes."""
+    """Hash of each token and its row, for rows of bytes."""
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     kind = _KIND[data]
     edge = np.empty(len(data), bool)
     edge[0] = True
@@ -44,53 +48,93 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.append(starts[1:], len(data))
     solid = kind[starts] > 0
     starts, ends = starts[solid], ends[solid]
-    bucket = (span_hashes(data, starts, ends) >> np.uint64(40)).astype(np.int64) % BUCKETS
-    return bucket, np.searchsorted(off, starts, "right") - 1
+    return span_hashes(data, starts, ends), np.searchsorted(off, starts, "right") - 1
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the nonzero entries of each bucket's index vector."""
+def bucket(hashes: np.ndarray, rows: int) -> np.ndarray:
+    """The table row of each token; ``rows`` is a power of two."""
+    return (hashes >> np.uint64(64 - (rows.bit_length() - 1))).astype(np.int64)
+
+
+def index_vectors(rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the nonzero entries of each table row's index vector."""
     draw = np.random.default_rng(20)
-    return draw.integers(0, DIM, (BUCKETS, NONZERO)), draw.choice([-1, 1], (BUCKETS, NONZERO))
+    return draw.integers(0, DIM, (rows, NONZERO)), draw.choice([-1, 1], (rows, NONZERO))
 
 
 def _pieces(data, off):
-    """Rows in pieces of about CHUNK bytes; a longer row is cut at white space where it can be."""
+    """(a, b, bytes, offsets, goes on) of rows in pieces of about CHUNK bytes. A longer row is cut between tokens;
+    the pieces after its first go on from the one before."""
     for a, b in slices(off):
-        lo = off[a]
-        while lo < off[b]:
-            hi = min(off[b], lo + 4 * CHUNK)
-            if hi < off[b]:
-                gap = np.flatnonzero(_KIND[data[lo:hi]] == 0)
-                hi = lo + int(gap[-1]) + 1 if len(gap) else hi
-            yield a, b, data[lo:hi], np.clip(off[a : b + 1] - lo, 0, hi - lo)
-            lo = hi
+        lo, end = int(off[a]), int(off[b])
+        first = True
+        while lo < end:
+            hi = min(end, lo + 4 * CHUNK)
+            if hi < end:  # a row that stands alone
+                kind = _KIND[data[lo:hi]]
+                change = np.flatnonzero(kind[1:] != kind[:-1])
+                if len(change):
+                    hi = lo + int(change[-1]) + 1
+                else:  # one token: to its end
+                    while hi < end and _KIND[data[hi]] == kind[-1]:
+                        more = np.flatnonzero(_KIND[data[hi : hi + CHUNK]] != kind[-1])
+                        hi = min(end, hi + (int(more[0]) if len(more) else CHUNK))
+            yield a, b, data[lo:hi], np.clip(off[a : b + 1] - lo, 0, hi - lo), not first
+            lo, first = hi, False
+
+
+def _tokens(data, off):
+    """(a, b, hashes, rows, led) by piece; led: the first token is the last one of the piece before, for its pair only."""
+    last = None
+    for a, b, part, o, goes_on in _pieces(data, off):
+        t, row = tokens(part, o)
+        led = goes_on and last is not None
+        if not goes_on:
+            last = None
+        if led:
+            t, row = np.concatenate([[last], t]), np.concatenate([[0], row])
+        if len(t):
+            last = t[-1]
+            yield a, b, t, row, led
 
 
-def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Unit context vectors of all buckets over every text of ``docs``: BUCKETS x DIM.
+def table_rows(docs: DataFrame, text: str = "text") -> int:
+    """Rows for the tokens of ``docs``, from a distinct count by a mergeable sketch (within 2 %) over every text."""
+
+    def run(batches):
+        for batch in batches:
+            seen = [np.unique(t) for _, _, t, _, _ in _tokens(*flat(batch.column(0)))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(seen)).view(np.int64) if seen else [], pa.int64())], ["h"])
+
+    n = docs.select(text).mapInArrow(run, "h bigint").agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    return max(ROWS, 1 << int(np.ceil(np.log2(max(1.0, ROOT * np.sqrt(n))))))
+
+
+def word_vectors(docs: DataFrame, text: str = "text", rows: int | None = None) -> np.ndarray:
+    """Unit context vectors of all table rows over every text of ``docs``: rows x DIM.
 
     Each task sums whole-number tables; slabs of them are summed in two streaming rounds, so no task
-    holds more than one table. The driver receives SLABS rows (one table of fixed size).
+    holds more than one table. The driver receives SLABS rows (one table).
     """
     bound_batches(docs.sparkSession)
-    per = BUCKETS // SLABS
+    rows = rows or table_rows(docs, text)
+    per = rows // SLABS
 
     def count(batches):
-        place, sign = index_vectors()
-        sums = np.zeros(BUCKETS * DIM)
+        place, sign = index_vectors(rows)
+        sums = np.zeros((rows, DIM), np.int64)
         for batch in batches:
-            data, off = flat(batch.column(0))
-            for _, _, part, o in _pieces(data, off):
-                t, row = tokens(part, o)
-                if len(t) < 2:
-                    continue
+            for _, _, t, row, _ in _tokens(*flat(batch.column(0))):
                 near = row[1:] == row[:-1]
-                x, y = t[:-1][near], t[1:][near]
+                u, at = np.unique(bucket(t, rows), return_inverse=True)
+                x, y = at[:-1][near], at[1:][near]
+                local = np.zeros(len(u) * DIM)
                 for k in range(NONZERO):
+                    p, s = place[u, k], sign[u, k]
                     for word, other in ((x, y), (y, x)):
-                        sums += np.bincount(word * DIM + place[other, k], sign[other, k], BUCKETS * DIM)
-        yield out({s: sums[s * per * DIM : (s + 1) * per * DIM].astype(np.int64) for s in range(SLABS)})
+                        local += np.bincount(word * DIM + p[other], s[other], len(local))
+                sums[u] += np.rint(local).astype(np.int64).reshape(-1, DIM)
+        yield out({s: v for s in range(SLABS) if (v := sums[s * per : (s + 1) * per]).any()})
 
     def out(slabs):
         return pa.RecordBatch.from_arrays([pa.array(list(slabs), pa.int32()), pa.array([v.tobytes() for v in slabs.values()], pa.binary())], ["slab", "sums"])
@@ -106,9 +150,8 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     kind = "slab int, sums binary"
     parts = docs.select(text).mapInArrow(count, kind)
     parts = parts.withColumn("salt", F.spark_partition_id() % 32).repartition("slab", "salt").select("slab", "sums").mapInArrow(add, kind)
-    rows = parts.repartition(SLABS, "slab").mapInArrow(add, kind).collect()
-    sums = np.zeros((BUCKETS, DIM))
-    for r in rows:
+    sums = np.zeros((rows, DIM))
+    for r in parts.repartition(SLABS, "slab").mapInArrow(add, kind).collect():
         sums[r["slab"] * per : (r["slab"] + 1) * per] += np.frombuffer(r["sums"], np.int64).reshape(per, DIM)
     return (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
@@ -121,21 +164,20 @@ def pool(data: np.ndarray, off: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     n = len(off) - 1
     first, second, step = np.zeros((n, DIM)), np.zeros((n, DIM)), np.zeros((n, DIM))
     count, still, pairs = np.zeros(n), np.zeros(n), np.zeros(n)
-    for a, b, part, o in _pieces(data, off):
-        t, row = tokens(part, o)
-        if not len(t):
-            continue
+    for a, b, hashes, row, led in _tokens(data, off):
+        t = bucket(hashes, len(vectors))
         edge = np.searchsorted(row, np.arange(b - a + 1)).tolist()
         for i, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True), a):
             if x == y:
                 continue
             v = vectors[t[x:y]]
-            first[i] += v.sum(0, dtype=np.float64)
-            second[i] += np.einsum("ij,ij->j", v, v)
+            new = v[int(led) :]
+            first[i] += new.sum(0, dtype=np.float64)
+            second[i] += np.einsum("ij,ij->j", new, new, dtype=np.float64)
             step[i] += np.abs(v[1:] - v[:-1]).sum(0, dtype=np.float64)
-            still[i] += np.count_nonzero(t[x + 1 : y] == t[x : y - 1])
+            still[i] += np.count_nonzero(hashes[x + 1 : y] == hashes[x : y - 1])
             pairs[i] += y - x - 1
-            count[i] += y - x
+            count[i] += len(new)
     c, p = np.maximum(count, 1)[:, None], np.maximum(pairs, 1)[:, None]
     mean = first / c
     return np.concatenate([mean, np.sqrt(np.maximum(second / c - mean**2, 0)), step / p, np.log1p(count)[:, None] / 10, still[:, None] / p], 1)
@@ -217,7 +259,8 @@ def train(docs: DataFrame, labels: DataFrame, vectors, text: str = "text", doc_i
 
 
 def score(docs: DataFrame, vectors, network: Network | None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, score); without a network every score is 0.5. Null and empty texts pool to zeros."""
+    """(doc_id, score) of each row; without a network every score is 0.5. Null and empty texts pool to zeros, long ones are
+    scored whole. Repeated rows and ids get a row each; of the other columns only ``text`` is looked at."""
 
     def run(batches):
         for batch in batches:
@@ -229,6 +272,9 @@ def score(docs: DataFrame, vectors, network: Network | None, text: str = "text",
 
 
 def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every whole text of ``documents``, learned from the labels that are not held out.
+
+    Word vectors come from all texts; null, empty and very long texts, repeated rows and missing labels: see ``score`` and ``train``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vectors = spark.sparkContext.broadcast(word_vectors(docs))
     network = train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), vectors)
