@@ -13,13 +13,17 @@ smaller doc_id. Every window holds at least one *anchor*: a 26-word gram whose h
    doc_id with its words is smaller. Keys of windows are 128-bit hashes, those of stretches too.
 4. The words under settled stretches and removed windows are the maximal repeats over the threshold.
 
-No pairs are made: a group of any size is one minimum of doc_id, taken before the shuffle.
+No pairs are made: a group of any size is one minimum of doc_id, taken before the shuffle. So a match is not extended
+word by word against one partner (a window may be shared with one smaller document and the next window with
+another, and trying all partners would take all pairs of a group): each step of the extension is a key of the words it
+adds, and all documents that can take the step meet in it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,22 +114,25 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "rk", "text").mapInArrow(run, SEEDS)
 
 
-def _covered(pairs, size: int) -> np.ndarray:
-    """Mask of the positions below ``size`` inside half-open ranges."""
-    d = np.zeros(size + 1, np.int32)
-    for a, b in pairs:
-        a, b = min(max(a, 0), size), min(max(b, 0), size)
-        if a < b:
-            d[a] += 1
-            d[b] -= 1
-    return np.cumsum(d[:-1]) > 0
+def _covered(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Mask of the positions below ``size`` inside the half-open ranges from ``a`` to ``b``."""
+    size = max(size, 0)
+    a, b = np.clip(a, 0, size), np.clip(b, 0, size)
+    some = a < b
+    d = np.bincount(a[some], minlength=size + 1) - np.bincount(b[some], minlength=size + 1)
+    return np.cumsum(d[:size]) > 0
 
 
-def unsettled(n: int, pos, tend) -> np.ndarray:
-    """Mask over window starts: over a shared anchor, not inside a settled stretch."""
-    starts = n - WINDOW + 1
-    near = _covered(((p - REACH, p + 1) for p in pos), starts)
-    return near & ~_covered(((p, e - WINDOW + 1) for p, e in zip(pos, tend, strict=True) if e), starts)
+def unsettled(n: int, pos: np.ndarray, tend: np.ndarray) -> np.ndarray:
+    """Mask over window starts: over a shared anchor, not inside a settled stretch (tend 0: none)."""
+    starts, some = n - WINDOW + 1, tend > 0
+    return _covered(pos - REACH, pos + 1, starts) & ~_covered(pos[some], tend[some] - WINDOW + 1, starts)
+
+
+def _rows(column) -> tuple[np.ndarray, pa.Array]:
+    """Offsets and values of a list column; null lists are empty."""
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.concatenate([[0], np.cumsum(n)]), column.flatten()
 
 
 def _zstd(docs: DataFrame) -> DataFrame:
@@ -161,13 +168,16 @@ def removals(docs: DataFrame, packed: DataFrame) -> DataFrame:
 
     def active(batches):
         for batch in batches:
-            out = []
-            for n, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                pos = [r["pos"] for r in row]
-                open_at = np.concatenate([[0], np.cumsum(unsettled(n, pos, [r["tend"] for r in row]))])
+            off, all_seeds = _rows(batch.column(1))
+            h, pos, asks, tend = (all_seeds.field(all_seeds.type.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("h", "pos", "asks", "tend"))
+            pos, tend, out = pos.astype(np.int64), tend.astype(np.int64), []
+            for n, x, y in zip(batch.column(0).to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
+                p = pos[x:y]
+                open_at = np.concatenate([[0], np.cumsum(unsettled(n, p, tend[x:y]))])
                 top = len(open_at) - 1
-                out += [r["h"] for r in row if r["asks"] and open_at[min(top, r["pos"] + 1)] > open_at[min(top, max(0, r["pos"] - REACH))]]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["h"])
+                left = open_at[np.minimum(top, p + 1)] > open_at[np.clip(p - REACH, 0, top)]
+                out.append(h[x:y][left & asks[x:y]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else [], pa.int64())], ["h"])
 
     asked = written(by_doc.select("n", "seeds").mapInArrow(active, "h bigint").distinct(), "op8-active")
     each = by_doc.select("doc_id", "rk", F.explode("seeds").alias("s")).select("doc_id", "rk", "s.h", "s.pos")
@@ -178,11 +188,13 @@ def removals(docs: DataFrame, packed: DataFrame) -> DataFrame:
     def windows(batches):
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            ids, rks, zs, sizes, ats = (c.to_pylist() for c in batch.columns)
-            for i, r, z, size, at in zip(ids, rks, zs, sizes, ats, strict=True):
-                raw = np.frombuffer(_unzstd(z, size), np.uint8)
+            ids, rks, zs, sizes = (c.to_pylist() for c in batch.columns[:4])
+            off, places = _rows(batch.column(4))
+            places = places.to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, r, z, size, x, y in zip(ids, rks, zs, sizes, off[:-1].tolist(), off[1:].tolist(), strict=True):
+                raw, at = np.frombuffer(_unzstd(z, size), np.uint8), places[x:y]
                 words = next(split_words(raw, np.array([0, len(raw)])))[0]
-                near = np.flatnonzero(_covered(((p - REACH, p + 1) for p in at), len(words) - WINDOW + 1))
+                near = np.flatnonzero(_covered(at - REACH, at + 1, len(words) - WINDOW + 1))
                 for k, v in enumerate((gram_hashes(words, WINDOW)[near].view(np.int64), gram_hashes(words, WINDOW, 1)[near].view(np.int64), np.full(len(near), i), np.full(len(near), r), near)):
                     out[k].append(v)
             if out[0]:
@@ -207,7 +219,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     """
     bound_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed", "kept")]
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.hash("text", F.lit(8)).alias("rk"), F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.hash("text", F.lit(8)).alias("rk"), F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_")).alias("rest"))
     slim = rows.select("doc_id", "rk", "text").filter("doc_id is not null and text is not null")
     gone = removals(slim, _zstd(slim)).groupBy("doc_id", "rk").agg(F.collect_list("from").alias("from"), F.collect_list("to").alias("to"))
     x = rows.join(gone, ["doc_id", "rk"], "left")
@@ -218,11 +230,13 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, off = flat(batch.column(1))
             raw, n, m, kept = data.tobytes(), [], [], []
-            for i, (a, b) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                words = raw[off[i] : off[i + 1]].split()
+            (at, a), (_, b) = _rows(batch.column(3)), _rows(batch.column(4))
+            a, b = (v.to_numpy(zero_copy_only=False).astype(np.int64) for v in (a, b))
+            for i in range(batch.num_rows):
+                words, x, y = raw[off[i] : off[i + 1]].split(), at[i], at[i + 1]
                 n.append(len(words))
-                if a:
-                    keep = ~_covered(zip(a, b, strict=True), len(words))
+                if x < y:
+                    keep = ~_covered(a[x:y], b[x:y], len(words))
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                 m.append(n[-1] - len(words))
                 kept.append(b" ".join(words).decode("utf-8"))
@@ -233,6 +247,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every whole text of ``documents``, without the words of 50-word
+    windows that start in a document of smaller doc_id too. Nulls, ties, repeated rows: see ``substring_dedup``."""
     out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 

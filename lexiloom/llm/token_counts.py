@@ -112,7 +112,8 @@ def count_tokens(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str =
 
     Pre-tokens never span white space, so a text is counted chunk by chunk. A chunk that holds a
     special string or an unusual character is given to the library whole, so results equal it.
-    Null and empty texts have 0 tokens. No row is dropped; there is no shuffle. The driver ships
+    Null and empty texts have 0 tokens. No row is dropped, repeated rows get equal counts, other columns are not looked
+    at, an empty table gives an empty result; there is no shuffle. The driver ships
     the vocabulary (fixed size) to the workers.
     """
     spark = docs.sparkSession
@@ -133,6 +134,9 @@ def count_tokens(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str =
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit of every whole text of ``documents``; ``vocabulary`` is the path of the JSON file.
+
+    Null, empty and very long texts, repeated rows and empty tables: see ``count_tokens``."""
     if vocabulary is None:
         import public_tokenizers
 
