@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grams import flat
-from .matching import Dictionary
+from .matching import Dictionary, Pieces, row_slices
 from .segment import PLAIN_SEGMENT, pre_segments
 
 
@@ -76,15 +76,34 @@ def all_paths_bpb(corpus: DataFrame, tokens: list[bytes], p: list[float], key: s
 
     def run(batches):
         d, logs = shipped.value
+        tail, memo = max(d.by, default=1) if past_end else 0, {}
         for batch in batches:
             b, off = flat(batch.column(1))
-            out = []
-            for a, z in zip(off[:-1], off[1:], strict=True):
-                raw = b[a:z].tobytes()
-                edges = [x.tolist() for x in d.find(b[a:z])]
-                x = all_paths(raw, edges, lambda t, s: logs[t], d.past_end(raw) if past_end else ())
-                out.append(None if x == -math.inf else x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off), pa.int64()), pa.array(out, pa.float64())], [key, "n_bytes", "log2_p"])
+            for x, y in row_slices(off):
+                part, o = b[off[x] : off[y]], off[x : y + 1] - off[x]
+                pieces = Pieces(d, part, o, tail)
+                ends = set(o[1:].tolist()) if past_end else ()
+                places, which = pieces.distinct()
+                one = []
+                for u, v in places:
+                    raw = part[u:v].tobytes()
+                    if raw not in memo:
+                        if len(memo) > 200_000:
+                            memo.clear()
+                        edges = pieces.edges(u, v)
+                        # alone, and as the last piece of a text, whose tokens may run past the end
+                        memo[raw] = [all_paths(raw, edges, lambda t, s: logs[t]), None, edges]
+                    one.append(memo[raw])
+                log2 = np.array([m[0] for m in one])[which]
+                for k in np.flatnonzero(np.isin(pieces.edge[1:], list(ends))).tolist() if past_end else ():
+                    m, raw = one[which[k]], part[pieces.edge[k] : pieces.edge[k + 1]].tobytes()
+                    if m[1] is None:
+                        m[1] = all_paths(raw, m[2], lambda t, s: logs[t], d.past_end(raw))
+                    log2[k] = m[1]
+                dead = np.concatenate([[0], np.cumsum(np.isinf(log2))])
+                run_ = np.concatenate([[0], np.cumsum(np.where(np.isinf(log2), 0, log2))])
+                got, lost = run_[pieces.row[1:]] - run_[pieces.row[:-1]], dead[pieces.row[1:]] > dead[pieces.row[:-1]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), pa.array(np.diff(o), pa.int64()), pa.array(got, pa.float64(), mask=lost)], [key, "n_bytes", "log2_p"])
 
     x = corpus.select(key, data).mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, log2_p double")
     return x.withColumn("bpb", F.when(F.col("n_bytes") > 0, -F.col("log2_p") / F.col("n_bytes")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grams import flat
-from .matching import Dictionary
+from .matching import Dictionary, Pieces, row_slices
 
 #: The byte-level pre-segmentation pattern of the public tiktoken package, with \z for the very end.
 PRE_SEGMENT = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++\z|\s+(?!\S)|\s"
@@ -29,7 +29,7 @@ class Cover:
     """The fewest dictionary tokens that spell a text, for texts given as bytes."""
 
     def __init__(self, dictionary: Dictionary):
-        self.d = dictionary
+        self.d, self.memo = dictionary, {}
 
     def edges(self, data: np.ndarray):
         s, e, t = self.d.find(data)
@@ -59,6 +59,20 @@ class Cover:
             out.append(t)
         return out[::-1]
 
+    def rows(self, data: np.ndarray, off: np.ndarray):
+        """(n, tokens, which, at, pieces): tokens of a fewest cover of each row (-1: there is none), and the covers of its
+        distinct pieces as one array with the places ``at`` where each begins."""
+        pieces = Pieces(self.d, data, off)
+        paths, which = pieces.solved(self.path, self.memo)
+        size = np.array([len(p) for p in paths], np.int64)
+        at = np.concatenate([[0], np.cumsum(size)])
+        tokens = np.fromiter((t for p in paths for t in p), np.int64, int(at[-1]))
+        run = np.concatenate([[0], np.cumsum(size[which])])
+        dead = np.concatenate([[0], np.cumsum(size[which] == 0)])
+        n = run[pieces.row[1:]] - run[pieces.row[:-1]]
+        n[dead[pieces.row[1:]] > dead[pieces.row[:-1]]] = -1
+        return n, tokens, which, at, pieces
+
 
 def covers(corpus: DataFrame, dictionary: Dictionary, key: str = "doc_id", data: str = "data") -> DataFrame:
     """(key, n_tokens, token_ids): a fewest cover of each text; n_tokens null where none exists, 0 for empty texts."""
@@ -69,16 +83,38 @@ def covers(corpus: DataFrame, dictionary: Dictionary, key: str = "doc_id", data:
         cover = Cover(shipped.value)
         for batch in batches:
             b, off = flat(batch.column(1))
-            n, ids = [], []
-            for a, z in zip(off[:-1], off[1:], strict=True):
-                p = cover.path(int(z - a), cover.edges(b[a:z]))
-                ids.append(p)
-                n.append(len(p) if p or z == a else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(ids, pa.list_(pa.int32()))], [key, "n_tokens", "token_ids"])
+            for x, y in row_slices(off):
+                n, tokens, which, at, pieces = cover.rows(b[off[x] : off[y]], off[x : y + 1] - off[x])
+                size = np.diff(at)[which]
+                place = np.repeat(at[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                run_ = np.concatenate([[0], np.cumsum(size)])[pieces.row]
+                ids = pa.ListArray.from_arrays(pa.array(run_, pa.int32()), pa.array(tokens[place], pa.int32()))
+                if (n < 0).any():
+                    ids = pa.array([v if k >= 0 else [] for v, k in zip(ids.to_pylist(), n.tolist(), strict=True)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), pa.array(n, pa.int32(), mask=n < 0), ids], [key, "n_tokens", "token_ids"])
 
     return corpus.select(key, data).mapInArrow(run, f"`{key}` {kind}, n_tokens int, token_ids array<int>")
 
 
+def cover_totals(corpus: DataFrame, dictionary: Dictionary, data: str = "data") -> DataFrame:
+    """(token_id, n_uses): how often each token stands in the covers of ``covers``, added up in the tasks; unused tokens have no row."""
+    shipped = corpus.sparkSession.sparkContext.broadcast(dictionary)
+
+    def run(batches):
+        cover, uses = Cover(shipped.value), np.zeros(len(shipped.value.tokens), np.int64)
+        for batch in batches:
+            b, off = flat(batch.column(0))
+            for x, y in row_slices(off):
+                n, tokens, which, at, pieces = cover.rows(b[off[x] : off[y]], off[x : y + 1] - off[x])
+                good = np.repeat(n >= 0, np.diff(pieces.row))
+                times = np.bincount(which[good], minlength=len(at) - 1)
+                uses += np.bincount(tokens, np.repeat(times, np.diff(at)), len(uses)).astype(np.int64)
+        i = np.flatnonzero(uses)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(uses[i])], ["token_id", "n"])
+
+    return corpus.select(data).mapInArrow(run, "token_id int, n bigint").groupBy("token_id").agg(F.sum("n").alias("n_uses"))
+
+
 def cover_total(covered: DataFrame) -> DataFrame:
     return covered.agg(F.count("*").alias("n_texts"), F.sum("n_tokens").cast("bigint").alias("n_tokens"))
 
@@ -111,12 +147,12 @@ def longest_suffix(data: bytes, tokens: set[bytes], most: int = 32) -> list[byte
 
 def suffix_cuts(corpus: DataFrame, tokens: list[bytes], key: str = "doc_id", data: str = "data") -> DataFrame:
     """(key, tokens): each text cut by ``longest_suffix``."""
-    shipped = corpus.sparkSession.sparkContext.broadcast(frozenset(tokens))
+    shipped, most = corpus.sparkSession.sparkContext.broadcast(frozenset(tokens)), min(32, max(map(len, tokens), default=1))
     kind = corpus.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            cut = [longest_suffix(x or b"", shipped.value) for x in batch.column(1).to_pylist()]
+            cut = [longest_suffix(x or b"", shipped.value, most) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.list_(pa.binary()))], [key, "tokens"])
 
     return corpus.select(key, data).mapInArrow(run, f"`{key}` {kind}, tokens array<binary>")

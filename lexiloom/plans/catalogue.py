@@ -363,8 +363,7 @@ def corpus_token_total(spark, folder):
 def cover_usage(spark, folder):
     """Uses of each token in the fewest-token cover of the corpus (of equals, the longest last token), with bytes and common tokens."""
     d = matching.Dictionary([*learner.BYTES, *(t.encode() for t in COMMON)])
-    uses = segment.cover_uses(segment.covers(corpus(spark, folder), d))
-    return uses.select("token_id", "n_uses")
+    return segment.cover_totals(corpus(spark, folder), d)
 
 
 @query("greedy_longest_suffix")
