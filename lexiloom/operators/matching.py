@@ -69,12 +69,15 @@ class Dictionary:
                 some[(h * _MIX) >> np.uint64(48)] = True
             o = np.argsort(h, kind="stable")
             self.by[n] = (h[o], np.array(ids, np.int64)[o], spelt[o], some)
+        self.singles: dict[int, list[int]] = {}
+        for i, t in enumerate(tokens):
+            if len(t) == 1:
+                self.singles.setdefault(t[0], []).append(i)
         self.sorted = sorted((t, i) for i, t in enumerate(tokens) if len(t) > 1)
 
-    def find_rows(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, token_id) of every match inside one row of ``data``, each checked byte by byte; by end, then start.
-
-        Places count from the start of ``data``; off holds where rows begin, and the end."""
+    def find_rows(self, data: np.ndarray, off: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, token_id) of every match of ``least`` bytes or more inside one row of ``data``, each checked byte by
+        byte; by end, then start. Places count from the start of ``data``; off holds where rows begin, and the end."""
         out = []
         for a, b in row_slices(off):
             lo, part = int(off[a]), data[off[a] : off[b]]
@@ -90,6 +93,8 @@ class Dictionary:
                     m = n - size + 1
                     if m <= 0:
                         break
+                    if size < least:
+                        continue
                     h = (c[size:] - c[:m]) * inverse[:m]
                     at = np.flatnonzero(some[(h * _MIX) >> np.uint64(48)] & (left[:m] >= size))
                     first = np.searchsorted(keys, h[at])
@@ -134,10 +139,9 @@ class Pieces:
     def __init__(self, dictionary: Dictionary, data: np.ndarray, off: np.ndarray, tail: int = 0):
         """tail: the last so many bytes of a row are not cut."""
         n = int(off[-1])
-        self.data, self.off = data, off
-        self.s, self.e, self.t = dictionary.find_rows(data, off)
-        wide = self.e - self.s > 1
-        d = np.bincount(self.s[wide] + 1, minlength=n + 2) - np.bincount(self.e[wide], minlength=n + 2)
+        self.data, self.singles = data, dictionary.singles
+        self.s, self.e, self.t = dictionary.find_rows(data, off, 2)
+        d = np.bincount(self.s + 1, minlength=n + 2) - np.bincount(self.e, minlength=n + 2)
         if tail:
             size = np.diff(off)
             at = np.maximum(off[:-1], off[1:] - tail)[size > 0]
@@ -166,9 +170,12 @@ class Pieces:
         return places, which
 
     def edges(self, a: int, b: int) -> tuple[list[int], list[int], list[int]]:
-        """Matches inside the piece from ``a`` to ``b``, counted from its start."""
+        """Matches inside the piece from ``a`` to ``b``, counted from its start, by end, then start."""
         x, y = np.searchsorted(self.e, [a + 1, b + 1])
-        return (self.s[x:y] - a).tolist(), (self.e[x:y] - a).tolist(), self.t[x:y].tolist()
+        wide = zip((self.s[x:y] - a).tolist(), (self.e[x:y] - a).tolist(), self.t[x:y].tolist(), strict=True)
+        short = ((i, i + 1, t) for i, byte in enumerate(self.data[a:b].tolist()) for t in self.singles.get(byte, ()))
+        every = sorted((*wide, *short), key=lambda m: (m[1], m[0], m[2]))
+        return tuple([m[k] for m in every] for k in range(3))
 
     def solved(self, solve, memo: dict) -> tuple[list, np.ndarray]:
         """(results, which): solve(size, edges) of each distinct piece; memo keeps results by bytes between batches."""
