@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 EOT = 50256
 
 
@@ -33,20 +35,22 @@ def end_offsets(stream: DataFrame, shard: str = "shard", pos: str = "pos", n_byt
     return stream.withColumn("end_offset", F.when(sep, F.lit(0)).otherwise(F.sum(F.when(sep, F.lit(0)).otherwise(F.col(n_bytes))).over(w)).cast("bigint"))
 
 
-def global_offsets(docs: DataFrame, order: str, size: str, blocks: int = 1024) -> DataFrame:
-    """offset: the summed size of all rows before each, by ``order`` (a whole number), without one task over all.
+def global_offsets(docs: DataFrame, order: str, size: str, rows_at_once: int = 1 << 18) -> DataFrame:
+    """offset: the summed size of all rows before each, by ``order`` and size, nulls of the order first, without one task over all.
 
-    Rows fall into ``blocks`` ranges of the order; sums by range give each range its offset, and a
-    window inside the range the rest. Ties of the order are broken by size.
+    Rows are dealt to ranges of about ``rows_at_once`` rows by sampled quantiles of (order, size, hash), so clustered or
+    repeated values make no large range, and written with the number of their range; sums by range give each
+    range its offset, and a window inside the range the rest. Rows that tie in order and size are interchangeable.
     """
-    lo, hi = docs.agg(F.min(order), F.max(order)).first()
-    lo, hi = lo or 0, hi or 0
-    x = docs.withColumn("_b", F.floor((F.col(order) - lo) / ((hi - lo + 1) / blocks)).cast("int"))
+    n = max(1, -(-docs.count() // rows_at_once))
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    x = docs.withColumn("_t", tie).repartitionByRange(n, F.asc_nulls_first(order), F.col(size), F.col("_t"))
+    x = written(x.withColumn("_b", F.spark_partition_id()), "ranges")
     sums = x.groupBy("_b").agg(F.sum(size).alias("_s"))
     before = sums.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy("_b").orderBy(order, size).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("_i", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(F.broadcast(before), "_b")  # ``blocks`` rows
-    return x.withColumn("offset", (F.col("_o") + F.col("_i")).cast("bigint")).drop("_b", "_i", "_o")
+    inside = Window.partitionBy("_b").orderBy(F.asc_nulls_first(order), size, "_t").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_i", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(before, "_b")  # one row a range
+    return x.withColumn("offset", (F.col("_o") + F.col("_i")).cast("bigint")).drop("_b", "_i", "_o", "_t")
 
 
 def shard_pieces(docs: DataFrame, shard_size: int, size: str = "n_tokens") -> DataFrame:
@@ -82,11 +86,15 @@ def blocks(stream: DataFrame, block: int = 128, shard: str = "shard", pos: str =
 
 
 def block_mask(table: DataFrame, shard: str = "shard") -> DataFrame:
-    """(shard, q, k, full): key blocks that a query block sees, causal and sharing a document; full: all of it."""
-    q, k = table.alias("q"), table.alias("k")
-    on = (F.col(f"q.{shard}") == F.col(f"k.{shard}")) & (F.col("q.b") >= F.col("k.b")) & (F.col("q.lo") <= F.col("k.hi")) & (F.col("q.hi") >= F.col("k.lo"))
-    full = (F.col("q.b") > F.col("k.b")) & (F.col("q.lo") == F.col("k.hi")) & (F.col("q.hi") == F.col("k.lo"))
-    return q.join(k, on).select(F.col(f"q.{shard}").alias(shard), F.col("q.b").alias("q"), F.col("k.b").alias("k"), full.alias("full"))
+    """(shard, q, k, full): key blocks that a query block sees, causal and sharing a document; full: all of it.
+
+    Documents follow each other, so an earlier block shares a document with a later one exactly if its last document
+    is the later one's first: an equality join on (shard, document), besides each block with itself.
+    """
+    own = table.select(shard, F.col("b").alias("q"), F.col("b").alias("k"), F.lit(False).alias("full"))
+    q = table.select(shard, F.col("lo").alias("doc"), F.col("b").alias("q"), (F.col("hi") == F.col("lo")).alias("_q"))
+    k = table.select(shard, F.col("hi").alias("doc"), F.col("b").alias("k"), (F.col("hi") == F.col("lo")).alias("_k"))
+    return own.unionByName(q.join(k, [shard, "doc"]).filter("q > k").select(shard, "q", "k", (F.col("_q") & F.col("_k")).alias("full")))
 
 
 def sliding_blocks(mask: DataFrame, window: int, shard: str = "shard") -> DataFrame:

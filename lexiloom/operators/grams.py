@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytestrings import latin1
+from ..session import written
 
 #: Bytes of one numpy pass.
 PIECE = 1 << 19
@@ -91,10 +92,26 @@ def gram_counts_sql(corpus: DataFrame, length: int, data: str = "data") -> DataF
     return grams.groupBy("gram").agg(F.count("*").alias("n")).select(F.lit(length).alias("len"), "gram", "n")
 
 
+#: Ranks up to here come from one window: its tasks keep no more than so many rows of each length.
+FEW = 1000
+
+
 def top_grams(counts: DataFrame, k: int) -> DataFrame:
-    """The k most frequent grams of each length, ties to the smaller bytes."""
-    w = Window.partitionBy("len").orderBy(F.desc("n"), F.asc("gram"))
-    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """The k most frequent grams of each length, ties to the smaller bytes.
+
+    A large k is not ranked by one task a length: grams fall into blocks of equal (length, count, first two bytes),
+    running sums over the blocks' sizes tell which can hold the first k, and ranks are counted inside these.
+    """
+    if k <= FEW:
+        w = Window.partitionBy("len").orderBy(F.desc("n"), F.asc("gram"))
+        return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    x = written(counts.withColumn("_h", F.substring("gram", 1, 2)), "gram-counts")
+    sizes = x.groupBy("len", "n", "_h").agg(F.count("*").alias("_m"))
+    w = Window.partitionBy("len").orderBy(F.desc("n"), F.asc("_h")).rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.withColumn("_o", F.coalesce(F.sum("_m").over(w), F.lit(0))).filter(F.col("_o") < k).drop("_m")
+    inside = Window.partitionBy("len", "n", "_h").orderBy("gram")
+    x = x.join(first, ["len", "n", "_h"]).withColumn("rank", (F.col("_o") + F.row_number().over(inside)).cast("int"))
+    return x.filter(F.col("rank") <= k).select(*counts.columns, "rank")
 
 
 def top_grams_one(counts: DataFrame, k: int) -> DataFrame:
@@ -129,34 +146,170 @@ def top_grams_with_nonoverlap(corpus: DataFrame, length: int, k: int, data: str
 
 
 def miner(corpus: DataFrame, lengths: list[int], k: int, data: str = "data") -> DataFrame:
-    """The top-K miner: (len, gram, n_total, n_nonoverlap, rank) of the k most frequent grams of each length."""
-    from .matching import Dictionary, match_counts
+    """The top-K miner: (len, gram, n_total, n_nonoverlap, rank) of the k most frequent grams of each length.
 
-    top = top_grams(gram_counts(corpus, lengths, data), k).select("len", "gram", F.col("n").alias("n_total"), "rank")
-    rows = [(i, bytes(r["gram"])) for i, r in enumerate(top.select("gram").collect())]  # k of each length
-    d = Dictionary([g for _, g in rows])
-    found = match_counts(corpus, d, data).select(F.col("token").alias("gram"), "n_nonoverlap")
+    Few grams are a dictionary that is sent to the tasks; with more than ``Dictionary.MOST`` bytes of them they are joined.
+    """
+    from .matching import counts_of
+    from .tokenset import numbered
+
+    top = written(top_grams(gram_counts(corpus, lengths, data), k).select("len", "gram", F.col("n").alias("n_total"), "rank"), "miner")
+    ids = numbered(top.select(F.col("gram").alias("token"), "len")).select(F.col("token_id").cast("int").alias("token_id"), "token")
+    keyed = corpus.select(F.monotonically_increasing_id().alias("doc_id"), F.col(data).alias("data"))
+    found = counts_of(keyed, ids).select(F.col("token").alias("gram"), "n_nonoverlap")
     return top.join(found, "gram").select("len", "gram", "n_total", "n_nonoverlap", "rank")
 
 
 # ---- approximate counts
 
+#: Slots of one piece of a sketch row.
+SLAB = 1 << 12
+
+
+def _slots(grams: np.ndarray, row: int, width: int, seed: int) -> np.ndarray:
+    """The slot of each 64-bit gram hash in one row of a sketch."""
+    with np.errstate(over="ignore"):
+        x = (grams ^ np.uint64((seed * 1_000_003 + row + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(32))) % np.uint64(width)).astype(np.int64)
 
-def count_min(corpus: DataFrame, length: int, width: int = 1 << 12, depth: int = 5, seed: int = 1, data: str = "data") -> DataFrame:
-    """(row, slot, n): a count-min sketch of the grams of one length; rows are hashed by xxhash64 with a salt.
 
-    Element-wise sums make it mergeable: partial sums come before the shuffle.
+def _hash_grams(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the n-byte windows inside rows."""
+    if n <= 8:
+        v, c = _packed(data, off, n)
+        return v, c
+    tally = _wide(data, off, n)
+    raw = np.frombuffer(b"".join(tally), np.uint8).reshape(-1, n).astype(np.uint64)
+    h = np.zeros(len(raw), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + raw[:, k] + np.uint64(1)
+    return h, np.fromiter(tally.values(), np.int64, len(tally))
+
+
+def count_min(corpus: DataFrame, length: int, width: int = 1 << 16, depth: int = 10, seed: int = 1, data: str = "data", conservative: bool = True) -> DataFrame:
+    """(row, slab, counts): a count-min sketch of the grams of one length; counts holds SLAB slots as 64-bit numbers.
+
+    A task fills one sketch of depth x width slots from its texts and never lists their grams. conservative: only slots
+    below a gram's new estimate are raised, inside a task; sketches of tasks are added slot by slot, so an estimate
+    is never below the count, and not above that of the plain sketch. The reference size is 2^24 x 10 (1.3 GB a task).
     """
-    grams = gram_counts(corpus, [length], data)
-    rows = F.explode(F.array(*[F.struct(F.lit(d).alias("row"), F.pmod(F.xxhash64("gram", F.lit(seed * 1000 + d)), F.lit(width)).cast("int").alias("slot")) for d in range(depth)]))
-    return grams.select("n", rows.alias("c")).groupBy("c.row", "c.slot").agg(F.sum("n").alias("n"))
 
+    def run(batches):
+        table = np.zeros((depth, width), np.int64)
+        for batch in batches:
+            h, c = _hash_grams(*flat(batch.column(0)), length)
+            at = [_slots(h, r, width, seed) for r in range(depth)]
+            low = np.min([table[r][at[r]] for r in range(depth)], 0) + c
+            for r in range(depth):
+                # slots that several grams of the batch share take their sum, others are raised to the new estimate
+                times = np.bincount(at[r], minlength=width)
+                plain = times[at[r]] > 1 if conservative else np.ones(len(h), bool)
+                table[r] += np.bincount(at[r][plain], c[plain], width).astype(np.int64)
+                own = at[r][~plain]
+                table[r][own] = np.maximum(table[r][own], low[~plain])
+        rows, slabs, parts = [], [], []
+        for r in range(depth):
+            for k in range(0, width, SLAB):
+                if table[r, k : k + SLAB].any():
+                    rows.append(r)
+                    slabs.append(k // SLAB)
+                    parts.append(table[r, k : k + SLAB].astype("<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(slabs, pa.int32()), pa.array(parts, pa.binary())], ["row", "slab", "counts"])
+
+    return merge_sketches(corpus.select(data).mapInArrow(run, "row int, slab int, counts binary"))
+
+
+def merge_sketches(*sketches: DataFrame) -> DataFrame:
+    """The slot-wise sum of sketches of one size and seed; each slab is added up as it streams by."""
+    x = sketches[0]
+    for y in sketches[1:]:
+        x = x.unionByName(y)
+
+    def add(batches):
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for r, s, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                v = np.frombuffer(raw, "<i8")
+                held[r, s] = held[r, s] + v if (r, s) in held else v
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int32()), pa.array([k[1] for k in held], pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["row", "slab", "counts"])
+
+    return x.select("row", "slab", "counts").repartition("row", "slab").mapInArrow(add, "row int, slab int, counts binary")
+
+
+def count_min_estimates(sketch: DataFrame, grams: DataFrame, width: int = 1 << 16, depth: int = 10, seed: int = 1) -> DataFrame:
+    """(gram, est): the least slot of each gram; never below its count. Grams of one length meet their slabs by a join."""
+
+    def run(batches):
+        for batch in batches:
+            raw = batch.column(0).to_pylist()
+            n = len(raw[0]) if raw else 0
+            data, off = np.frombuffer(b"".join(raw), np.uint8), np.arange(len(raw) + 1) * n
+            x = np.zeros(len(raw), np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(n):
+                    x = (x << np.uint64(8)) | data[off[:-1] + k] if n <= 8 else x * np.uint64(0x9E3779B97F4A7C15) + data[off[:-1] + k].astype(np.uint64) + np.uint64(1)
+            for r in range(depth):
+                at = _slots(x, r, width, seed)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(raw), r, np.int32)), pa.array((at // SLAB).astype(np.int32)), pa.array((at % SLAB).astype(np.int32))], ["gram", "row", "slab", "at"])
+
+    asked = grams.select("gram").mapInArrow(run, "gram binary, row int, slab int, at int")
+
+    def spread(batches):
+        for batch in batches:
+            for r, s, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = np.frombuffer(raw, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), r, np.int32)), pa.array(np.full(len(n), s, np.int32)), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n.astype(np.int64))], ["row", "slab", "at", "n"])
+
+    slots = sketch.select("row", "slab", "counts").mapInArrow(spread, "row int, slab int, at int, n bigint")
+    return asked.join(slots, ["row", "slab", "at"]).groupBy("gram").agg(F.min("n").alias("est"))
 
-def count_min_estimates(sketch: DataFrame, grams: DataFrame, width: int = 1 << 12, depth: int = 5, seed: int = 1) -> DataFrame:
-    """(gram, est): the least slot of each gram; never below its count."""
-    rows = F.explode(F.array(*[F.struct(F.lit(d).alias("row"), F.pmod(F.xxhash64("gram", F.lit(seed * 1000 + d)), F.lit(width)).cast("int").alias("slot")) for d in range(depth)]))
-    asked = grams.select("gram", rows.alias("c")).select("gram", "c.row", "c.slot")
-    return asked.join(sketch, ["row", "slot"]).groupBy("gram").agg(F.min("n").alias("est"))
+
+#: Bytes of a sketch that are sent to every task at most.
+MOST_SKETCH = 256 << 20
+
+
+def survivors(corpus: DataFrame, length: int, least: int, width: int = 1 << 16, depth: int = 10, seed: int = 1, data: str = "data") -> DataFrame:
+    """(len, gram, n) of the grams that stand ``least`` times or more, in two passes: a sketch of all grams, then exact counts
+    of those whose estimate reaches ``least``. No gram is missed, since estimates are never too low; only survivors are shuffled."""
+    if 8 * width * depth > MOST_SKETCH:
+        raise ValueError("the sketch is too large to send to every task; use gram_counts")
+    table = np.zeros((depth, width), np.int64)
+    for r in count_min(corpus, length, width, depth, seed, data).toLocalIterator():
+        part = np.frombuffer(r["counts"], "<i8")
+        table[r["row"], r["slab"] * SLAB : r["slab"] * SLAB + len(part)] = part
+    shipped = corpus.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for batch in batches:
+            b, off = flat(batch.column(0))
+            h, c = _hash_grams(b, off, length)
+            keep = np.min([shipped.value[r][_slots(h, r, width, seed)] for r in range(depth)], 0) >= least
+            if length <= 8:
+                raw = h[keep].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - length :].tobytes()
+                gram = pa.Array.from_buffers(pa.binary(length), int(keep.sum()), [None, pa.py_buffer(raw)]).cast(pa.binary())
+            else:
+                gram = pa.array([g for g, k in zip(_wide(b, off, length), keep.tolist(), strict=True) if k], pa.binary())
+            yield pa.RecordBatch.from_arrays([gram, pa.array(c[keep], pa.int64())], ["gram", "n"])
+
+    counts = corpus.select(data).mapInArrow(run, "gram binary, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return counts.filter(F.col("n") >= least).select(F.lit(length).alias("len"), "gram", "n")
+
+
+def save_sketch(sketch: DataFrame, path: str, **about) -> None:
+    """Write a sketch with its width, depth, seed and length as Parquet; ``load_sketch`` gives both back."""
+    x = sketch
+    for name, value in about.items():
+        x = x.withColumn(f"about_{name}", F.lit(int(value)))
+    x.write.mode("overwrite").parquet(path)
+
+
+def load_sketch(spark, path: str) -> tuple[DataFrame, dict]:
+    x = spark.read.parquet(path)
+    names = [c for c in x.columns if c.startswith("about_")]
+    first = x.select(*names).first() if names else None
+    return x.select("row", "slab", "counts"), {c.removeprefix("about_"): first[c] for c in names} if first else {}
 
 
 def sketch_error(estimates: DataFrame, counts: DataFrame) -> DataFrame:

@@ -117,14 +117,48 @@ def weighted_lines(spark, folder):
     return tokensets.weighted_lines(good.unionByName(odd))[0]
 
 
-@query("count_min_error")
+@query("count_min_error", f"""WITH g AS (SELECT gram, count(*) AS n FROM ({gram_sql(4)}) GROUP BY gram)
+SELECT count(*) AS n_grams, sum(n)::BIGINT AS n_total, 0::BIGINT AS n_below, true AS mean_error_is_small FROM g""")
 def count_min_error(spark, folder):
-    """Sketch estimates of all byte 4-grams of the corpus against their counts."""
+    """Sketch estimates of all byte 4-grams of the corpus against their counts: how many lie below (none may), and
+    whether the mean error is at most that of 2.72 grams a slot. The width follows the number of grams."""
     data = corpus(spark, folder)
     exact = written(grams.gram_counts(data, [4]).select("gram", "n"), "count-min")
-    est = grams.count_min_estimates(grams.count_min(data, 4), exact.select("gram"))
+    k, total = exact.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    width = max(grams.SLAB, 1 << max(0, k - 1).bit_length())
+    est = grams.count_min_estimates(grams.count_min(data, 4, width), exact.select("gram"), width)
     x = grams.sketch_error(est, exact)
-    return x.agg(F.count("*").alias("n_grams"), F.avg("error").alias("mean_error"), F.min(F.col("est") - F.col("n")).alias("least_excess"))
+    return x.agg(F.count("*").alias("n_grams"), F.sum("n").alias("n_total"), F.count(F.when(F.col("est") < F.col("n"), 1)).alias("n_below"), (F.avg(F.col("est") - F.col("n")) <= 2.72 * total / width).alias("mean_error_is_small"))
+
+
+@query("count_min_file_roundtrip", f"SELECT gram, count(*) AS n, true AS enough FROM ({gram_sql(2, 'benchmark')}) GROUP BY gram")
+def count_min_file_roundtrip(spark, folder):
+    """The sketches of two halves of a corpus are saved, loaded, merged and asked."""
+    import uuid
+
+    data = benchmark(spark, folder)
+    paths = [f"{shared_folder(spark)}/lexiloom/sketch-{uuid.uuid4().hex}" for _ in range(2)]
+    for k, path in enumerate(paths):
+        half = data.filter(F.pmod(F.xxhash64("item_id"), F.lit(2)) == k)
+        grams.save_sketch(grams.count_min(half, 2, 1 << 14, 4), path, width=1 << 14, depth=4, seed=1, length=2)
+    loaded = [grams.load_sketch(spark, path) for path in paths]
+    about = loaded[0][1]
+    exact = grams.gram_counts(data, [about["length"]]).select("gram", "n")
+    est = grams.count_min_estimates(grams.merge_sketches(*(x for x, _ in loaded)), exact.select("gram"), about["width"], about["depth"], about["seed"])
+    return est.join(exact, "gram").select(F.hex("gram").alias("gram"), "n", (F.col("est") >= F.col("n")).alias("enough"))
+
+
+@query("two_pass_counts", f"SELECT 5 AS len, gram, count(*) AS n FROM ({gram_sql(5)}) GROUP BY gram HAVING count(*) >= 20")
+def two_pass_counts(spark, folder):
+    """Byte 5-grams that stand twenty times or more: a sketch first, then exact counts of what may reach that."""
+    return grams.survivors(corpus(spark, folder), 5, 20).select("len", F.hex("gram").alias("gram"), "n")
+
+
+@query("ngram_top_many", f"""SELECT len, gram, n, rank FROM (SELECT len, gram, count(*) AS n, row_number() OVER (PARTITION BY len ORDER BY count(*) DESC, gram)::INT AS rank
+FROM ({' UNION ALL '.join(gram_sql(n) for n in (3, 4))}) GROUP BY len, gram) WHERE rank <= 5000""")
+def ngram_top_many(spark, folder):
+    """The 5,000 most frequent grams of two lengths, ranked by blocks and not by one task a length."""
+    return grams.top_grams(grams.gram_counts(corpus(spark, folder), [3, 4]), 5000).select("len", F.hex("gram").alias("gram"), "n", "rank")
 
 
 @query("approx_top_words")

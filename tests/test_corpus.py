@@ -60,6 +60,37 @@ def test_sketch_never_underestimates(corpus):
     assert len(rows) == len(all_grams(2)) and all(r["est"] >= r["n"] and r["error"] >= 0 for r in rows)
 
 
+@pytest.mark.parametrize("length", [3, 9])
+def test_conservative_sketches_are_no_worse_and_merge(corpus, tmp_path, length):
+    exact = grams.gram_counts(corpus, [length]).select("gram", "n")
+    size = {"width": 97, "depth": 3}
+    plain = grams.count_min(corpus, length, conservative=False, **size)
+    kind = grams.count_min(corpus, length, **size)
+    a, b = ({bytes(r["gram"]): r["est"] for r in grams.count_min_estimates(x, exact.select("gram"), **size).collect()} for x in (plain, kind))
+    n = {bytes(r["gram"]): r["n"] for r in exact.collect()}
+    assert all(n[g] <= b[g] <= a[g] for g in n) and set(a) == set(n)
+    grams.save_sketch(kind, str(tmp_path / "s"), length=length, **size)
+    back, about = grams.load_sketch(corpus.sparkSession, str(tmp_path / "s"))
+    twice = {bytes(r["gram"]): r["est"] for r in grams.count_min_estimates(grams.merge_sketches(back, kind), exact.select("gram"), **size).collect()}
+    assert about == {"length": length, **size} and twice == {g: 2 * v for g, v in b.items()}
+
+
+@pytest.mark.parametrize("length", [2, 10])
+def test_survivors_of_two_passes(corpus, monkeypatch, length):
+    got = {bytes(r["gram"]): r["n"] for r in grams.survivors(corpus, length, 2, width=50, depth=3).collect()}
+    assert got == {g: n for g, n in all_grams(length).items() if n >= 2}
+    monkeypatch.setattr(grams, "MOST_SKETCH", 10)
+    with pytest.raises(ValueError):
+        grams.survivors(corpus, length, 2)
+
+
+def test_many_ranks_equal_few(corpus, monkeypatch):
+    counts = grams.gram_counts(corpus, [1, 2, 5])
+    few = sorted(map(tuple, grams.top_grams(counts, 7).collect()))
+    monkeypatch.setattr(grams, "FEW", 3)
+    assert sorted(map(tuple, grams.top_grams(counts, 7).collect())) == few
+
+
 TOKENS = [b"an", b"nan", b"ban", b"a", b"aa", b"the", b" ", b"\xc3", b"xx", b"zzz"]
 
 

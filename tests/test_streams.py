@@ -83,7 +83,7 @@ def test_documents_between_separators(spark):
 
 def test_offsets_and_pieces(spark):
     d = spark.createDataFrame([(i * 7, 1 + i % 5) for i in range(500)], "doc_id long, n_tokens long")
-    x = batches.global_offsets(d, "doc_id", "n_tokens", blocks=13)
+    x = batches.global_offsets(d, "doc_id", "n_tokens", rows_at_once=40)
     total, want = 0, {}
     for i in range(500):
         want[i * 7] = total
@@ -159,3 +159,29 @@ def test_streams(spark, tmp_path):
     s = counts.document_stream(spark, str(tmp_path / "in"), 1)
     out = {bytes(r["gram"]): r["n"] for r in counts.run_to_end(counts.streaming_gram_counts(s, 2), "grams_test").collect()}
     assert out[b"an"] == 4 and out[b"da"] == 1
+
+
+def test_offsets_of_clustered_repeated_and_null_keys(spark):
+    rows = [(None, 4), (None, 3)] + [(10**12 + i, 2) for i in range(300)] + [(5, i % 3) for i in range(200)]
+    d = spark.createDataFrame(rows, "k long, size long")
+    got = sorted((tuple(r) for r in batches.global_offsets(d, "k", "size", rows_at_once=30).collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    run = 0
+    for _, size, offset in got:
+        assert offset == run
+        run += size
+    assert len(got) == len(rows) and batches.global_offsets(d.limit(0), "k", "size").count() == 0
+
+
+def test_block_mask_by_plain_ranges(spark):
+    import random
+
+    draw = random.Random(1)
+    doc, blocks = 0, []
+    for b in range(60):
+        lo = doc
+        doc += draw.choice([0, 0, 0, 1, 2, 9])
+        blocks.append((0, b, lo, doc))
+        doc += draw.random() < 0.2
+    got = {(r["q"], r["k"], r["full"]) for r in batches.block_mask(spark.createDataFrame(blocks, "shard int, b int, lo long, hi long")).collect()}
+    want = {(q, k, q > k and ql == kh and qh == kl) for _, q, ql, qh in blocks for _, k, kl, kh in blocks if q >= k and ql <= kh and qh >= kl}
+    assert got == want
