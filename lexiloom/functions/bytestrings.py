@@ -114,4 +114,4 @@ def packed_index(gram) -> Column:
 
 def bit_positions(mask) -> Column:
     """Places of the set bits of a whole number, from 0."""
-    return F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: F.getbit(mask, k) == 1)
+    return F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: F.getbit(mask.cast("bigint"), k) == 1)

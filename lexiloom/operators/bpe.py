@@ -93,12 +93,17 @@ def worth(seg: DataFrame, tokens: list[str]) -> DataFrame:
     return names.join(sums, "token", "left").fillna(0, ["war", "n_strings"])
 
 
+def least_worth(table: DataFrame) -> DataFrame:
+    """The row of the merged token of least worth, ties to the smaller token."""
+    return table.orderBy("war", "token").limit(1)
+
+
 def prune(strings: DataFrame, size: int, keep: int) -> tuple[list[str], DataFrame]:
     """Train ``size`` merges, then drop the least worthy merged token until ``keep`` are left."""
     tokens, seg = train(strings, size)
     table = worth(seg, tokens)
     while len(tokens) > keep:
-        low = table.orderBy("war", "token").first()["token"]
+        low = least_worth(table).first()["token"]
         tokens = [t for t in tokens if t != low]
         table = table.filter(F.col("token") != low)
     return tokens, table

@@ -160,6 +160,14 @@ def miner(corpus: DataFrame, lengths: list[int], k: int, data: str = "data") ->
     return top.join(found, "gram").select("len", "gram", "n_total", "n_nonoverlap", "rank")
 
 
+def merge_counts(*counts: DataFrame) -> DataFrame:
+    """The counts of several corpora added up."""
+    x = counts[0]
+    for y in counts[1:]:
+        x = x.unionByName(y)
+    return x.groupBy("len", "gram").agg(F.sum("n").alias("n"))
+
+
 # ---- approximate counts
 
 #: Slots of one piece of a sketch row.

@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grams import flat
@@ -302,6 +302,13 @@ def first_places(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.groupBy(key, "token_id").agg(F.min("end").alias("first_end"))
 
 
+def by_first_end(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """place of each match in its text: tokens whose first match ends latest come first, then by token and end."""
+    first = F.min("end").over(Window.partitionBy(key, "token_id"))
+    w = Window.partitionBy(key).orderBy(F.desc("_f"), "token_id", "end")
+    return found.withColumn("_f", first).withColumn("place", F.row_number().over(w)).drop("_f")
+
+
 def covered(found: DataFrame, uses: DataFrame) -> DataFrame:
     """(token_id, n_covered): occurrences of each candidate inside used tokens, weighted by their uses.
 

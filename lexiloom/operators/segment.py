@@ -210,6 +210,27 @@ def encode_texts(corpus: DataFrame, tokens: list[bytes], key: str = "doc_id", da
     return corpus.select(key, pre_segments(escape_udf(data)).alias("segments")).mapInArrow(run, f"`{key}` {kind}, token_ids array<int>")
 
 
+def encode_bytes(corpus: DataFrame, tokens: list[bytes], key: str = "doc_id", data: str = "data") -> DataFrame:
+    """(key, token_ids): the merges over each whole byte string, as one segment; for short strings, since merging a
+    segment takes a pass for each merge."""
+    shipped = corpus.sparkSession.sparkContext.broadcast(tokens)
+    kind = corpus.schema[key].dataType.simpleString()
+
+    def run(batches):
+        merges, known = Merges(shipped.value), {}
+        for batch in batches:
+            ids = []
+            for x in batch.column(1).to_pylist():
+                if x not in known:
+                    if len(known) > 100_000:
+                        known.clear()
+                    known[x] = merges.encode(x or b"")
+                ids.append(known[x])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "token_ids"])
+
+    return corpus.select(key, data).mapInArrow(run, f"`{key}` {kind}, token_ids array<int>")
+
+
 def decode_tokens(stream: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, data): token ids back to bytes, ``?`` for an unknown id. vocab (token_id, token) is joined by size."""
     x = stream.select(key, F.posexplode("token_ids").alias("pos", "token_id")).join(vocab.select("token_id", "token"), "token_id", "left")

@@ -100,7 +100,11 @@ def _ends_meet(a: bytes, b: bytes) -> bool:
 
 def file_order(files: DataFrame, name: str = "name") -> DataFrame:
     """Files by the number before their first extension: set_10.bin after set_9.bin."""
-    return files.orderBy(F.regexp_extract(name, r"_(\d+)\.", 1).cast("int"), name)
+    return files.orderBy(file_number(name), name)
+
+
+def file_number(name: str = "name"):
+    return F.regexp_extract(name, r"_(\d+)\.", 1).try_cast("int")
 
 
 def differ(a: DataFrame, b: DataFrame) -> DataFrame:

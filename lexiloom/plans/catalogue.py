@@ -567,13 +567,6 @@ def all_paths_bpb(spark, folder):
     return x.select("p_partkey", "n_bytes", F.round("bpb", 8).alias("bpb"))
 
 
-@query("prefix_token_positions")
-def prefix_token_positions(spark, folder):
-    """Distinct tokens of the canonical segmentations of every prefix of each part name, in order."""
-    x = bpb.prefix_tokens(names(spark, folder), [t.encode() for t in PIECES], "p_partkey")
-    return bpb.prefix_order(x, "p_partkey")
-
-
 # ---------------------------------------------------------------- lattices
 
 LATTICE = f'{PART}, l AS (SELECT p_partkey, "start" + 1 AS start1, "end" AS end1, token_id FROM m)'
@@ -588,7 +581,9 @@ def token_lattice(spark, folder):
     return lattice.end_positions(_lattice(spark, folder))
 
 
-@query("token_ancestry", f"WITH {LATTICE} SELECT a.p_partkey, a.token_id, a.start1::INT AS start1, b.token_id AS anc_id, b.start1::INT AS anc_start FROM l a JOIN l b ON a.p_partkey = b.p_partkey AND (b.end1 < a.start1 OR (a.token_id = b.token_id AND a.start1 = b.start1))")
+@query("token_ancestry", f"""WITH one AS (SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_name), {LATTICE.replace('FROM part)', 'FROM one)')},
+x AS (SELECT a.p_partkey, a.token_id, a.start1, b.token_id AS anc_id, b.start1 AS anc_start FROM l a JOIN l b ON a.p_partkey = b.p_partkey AND b.end1 < a.start1 UNION ALL SELECT p_partkey, token_id, start1, token_id, start1 FROM l)
+SELECT part.p_partkey, token_id, start1::INT AS start1, anc_id, anc_start::INT AS anc_start FROM x JOIN one USING (p_partkey) JOIN part ON part.p_name = one.p_name""")
 def token_ancestry(spark, folder):
     return lattice.ancestry(_lattice(spark, folder), "p_partkey")
 
@@ -945,3 +940,6 @@ def byte_coverage_mean_documents(spark, folder):
 @query("cumulative_position_documents")
 def cumulative_position_documents(spark, folder):
     return lattice.cumulative(_lattice_documents(spark, folder), _byte_means_documents(spark, folder)).withColumn("position", F.round("position", 8))
+
+
+from . import part_queries  # noqa: E402, F401

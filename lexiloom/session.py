@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,6 +21,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def resident(df: DataFrame) -> DataFrame:
+    """``df`` kept in memory between passes, on disk where it does not fit; ``unpersist`` lets it go."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only on a local master, where it is unset, a fresh folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
