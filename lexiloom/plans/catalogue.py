@@ -361,12 +361,29 @@ def pre_segments(spark, folder):
     return b.select("item_id", F.posexplode(segment.pre_segments(F.col("text"), segment.PLAIN_SEGMENT)).alias("pos", "segment")).withColumn("pos", F.col("pos") + 1)
 
 
-@query("pre_segment_counts")
+#: White space in SQL patterns, as the Unicode property has it.
+_BLANK = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The pre-segments without look-ahead: a mark (U+F8FF) cuts each run of white space before its last character where a
+#: word follows, and a run ends at the mark.
+_MARKED = rf"regexp_replace(text, '([{_BLANK}])([{_BLANK}][^{_BLANK}])', '\1' || chr(63743) || '\2', 'g')"
+_PRE = rf"'''(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}\x{{F8FF}}]+|[{_BLANK}]+'"
+
+
+@query("pre_segment_counts", f"SELECT segment, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_MARKED}, {_PRE})) AS segment FROM documents) GROUP BY segment")
 def pre_segment_counts(spark, folder):
-    """Counts of the byte-level pre-segments of the corpus (with look-ahead, which SQL engines lack)."""
+    """Counts of the byte-level pre-segments of the corpus."""
     return segment.segment_counts(table(spark, folder, "documents"))
 
 
+@query("pre_segments_of_odd_texts", f"""SELECT i, (unnest(range(len(s))) + 1)::INT AS pos, unnest(s) AS segment FROM (SELECT i, regexp_extract_all({_MARKED}, {_PRE}) AS s FROM
+(SELECT p_partkey AS i, replace(replace(p_name, 'o', '  ' || chr(10) || chr(160)), 'e', '''ll 12x' || chr(233) || '!? ''s   ') || p_size || ' ' || chr(8195) AS text FROM part))""")
+def pre_segments_of_odd_texts(spark, folder):
+    """Runs of white space of several kinds, contractions, letters beyond ASCII, digits and marks."""
+    text = F.concat(F.replace(F.replace("p_name", F.lit("o"), F.lit("  \n ")), F.lit("e"), F.lit("'ll 12xé!? 's   ")), "p_size", F.lit("  "))
+    p = table(spark, folder, "part").select(F.col("p_partkey").alias("i"), text.alias("text"))
+    return p.select("i", F.posexplode(segment.pre_segments(F.col("text"))).alias("pos", "segment")).withColumn("pos", F.col("pos") + 1)
+
+
 def cost_sql(tokens, banned: str | None = None) -> str:
     """Fewest-token counts of the distinct part names: one recursive step for each byte."""
     best = ", ".join(f"CASE WHEN i + 1 >= {len(t)} AND substr(t, i + 2 - {len(t)}, {len(t)}) = '{t}' THEN dp[i + 2 - {len(t)}] ELSE 1000000 END" for t in tokens if t != banned)
