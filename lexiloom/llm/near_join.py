@@ -114,7 +114,8 @@ def children(rows: DataFrame) -> DataFrame:
                 token = mix(sig.astype(np.uint64) + place)
             roots = batch.column(2).null_count > 0
             for start in starts if roots else (batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)[:, None],):
-                h = mix(token ^ mix(np.asarray(start)))
+                with np.errstate(over="ignore"):
+                    h = mix(token ^ mix(np.asarray(start)))
                 row, col = np.nonzero(h < share)
                 at = pa.array(row)
                 parent = pa.nulls(len(row), pa.int64()) if roots else batch.column(2).take(at)
@@ -410,3 +411,18 @@ def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if keep.filter("_n > 1").limit(1).count():
         whole = whole.filter("_n = 1").unionByName(whole.filter("_n > 1").dropDuplicates(["doc_id", "_rk"]))
     return whole.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+#: Every pair of texts that share a shingle, compared as whole sets; for tables of a few thousand documents.
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT DISTINCT id, md5(array_to_string(words[i:i + 4], ' ')) AS gram FROM (SELECT id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0 AND doc_id IS NOT NULL)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS hits FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 5 * hits >= 4 * (x.n + y.n - hits)),
+s AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a AS id, a AS met FROM s UNION SELECT r.id, s.b FROM r JOIN s ON r.met = s.a),
+k AS (SELECT r.id, min(w.doc_id) AS class_id FROM r JOIN w ON w.id = r.met GROUP BY r.id),
+m AS (SELECT a AS id, count(*) AS n_links FROM s GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM w LEFT JOIN k USING (id) LEFT JOIN m USING (id)
+"""

@@ -102,3 +102,25 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     slim = written(docs.select("doc_id", word_count(F.col("text")).alias("length")), "op4")
     return pack(slim).select("doc_id", "length", "bucket_length", "batch_id", "batch_row")
+
+
+def _op4_sql(buckets: int, budget: int) -> str:
+    """The dynamic programme as one layer of SQL for each bucket, over the distinct lengths."""
+    layers = ["l1 AS MATERIALIZED (SELECT j, up * rows - total AS cost, [up] AS ends FROM p UNION ALL SELECT 0, 0, [])"]
+    for k in range(2, buckets + 1):
+        best = f"SELECT h.j, h.up, min({{'cost': l.cost + h.up * (h.rows - q.rows) - (h.total - q.total), 'i': l.j}}) AS b FROM p h JOIN l{k - 1} l ON l.j < h.j JOIN z q ON q.j = l.j GROUP BY h.j, h.up"
+        layers.append(f"l{k} AS MATERIALIZED (SELECT x.j, b.cost AS cost, list_append(l.ends, x.up) AS ends FROM ({best}) x JOIN l{k - 1} l ON l.j = b.i UNION ALL SELECT 0, 0, [])")
+    last = " UNION ALL ".join(f"SELECT {k} AS k, cost, ends FROM l{k} WHERE j = (SELECT max(j) FROM z)" for k in range(1, buckets + 1))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS length FROM documents),
+h AS (SELECT length AS up, count(*)::BIGINT AS n FROM d GROUP BY length),
+p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY up) AS j, up, (sum(n) OVER (ORDER BY up))::BIGINT AS rows, (sum(n * up) OVER (ORDER BY up))::BIGINT AS total FROM h),
+z AS MATERIALIZED (SELECT j, rows, total FROM p UNION ALL SELECT 0, 0, 0), {", ".join(layers)},
+e AS (SELECT unnest(ends) AS top FROM (SELECT ends FROM ({last}) ORDER BY cost, k LIMIT 1)),
+x AS (SELECT doc_id, length, (SELECT min(top) FROM e WHERE top >= length)::BIGINT AS bucket_length FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket_length ORDER BY length, md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS k, greatest(1, {budget} // greatest(bucket_length, 1)) AS fit FROM x)
+SELECT doc_id, length, bucket_length, (k // fit)::BIGINT AS batch_id, (k % fit)::INT AS batch_row FROM r
+"""
+
+
+OP4_SQL = _op4_sql(BUCKETS, BUDGET)

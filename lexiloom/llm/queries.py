@@ -23,7 +23,9 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_mix_sources": mixing.OP3_SQL,
+        "op4_pack": packing.OP4_SQL,
         "op5_quality_rules": quality_rules.OP5_SQL,
+        "op6_near_join": near_join.OP6_SQL,
         "op8_substring_dedup": substring_dedup.OP8_SQL,
         "op10_warc_round_trip": warc.OP10_SQL,
     }

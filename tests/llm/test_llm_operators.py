@@ -98,7 +98,7 @@ def test_query_equals_sql(spark, small, duck, name):
     check(queries.queries()[name](spark, small), duck, queries.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["op3_mix_sources", "op5_quality_rules", "op8_substring_dedup"])
+@pytest.mark.parametrize("name", ["op3_mix_sources", "op4_pack", "op5_quality_rules", "op6_near_join", "op8_substring_dedup"])
 def test_query_equals_sql_on_odd_rows(spark, odd, none, tmp_path, name):
     import duckdb
 
