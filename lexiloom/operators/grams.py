@@ -65,24 +65,39 @@ def _wide(data: np.ndarray, off: np.ndarray, n: int):
 def gram_counts(corpus: DataFrame, lengths: list[int], data: str = "data") -> DataFrame:
     """(len, gram, n): overlapping occurrences of every byte string of the given lengths.
 
-    Each task counts its windows by batch in numpy and sends one row for each distinct gram; Spark adds them up.
+    Each task counts its windows by batch in numpy and sends one row for each distinct gram; Spark adds them up. Grams of up to
+    eight bytes travel and are added up as whole numbers, and become bytes at the end.
     """
+    out = None
+    for few in (True, False):
+        some = [n for n in lengths if (n <= 8) == few]
+        if some:
+            x = _packed_counts(corpus, some, data) if few else _wide_counts(corpus, some, data)
+            out = x if out is None else out.unionByName(x)
+    return out if out is not None else corpus.sparkSession.createDataFrame([], "len int, gram binary, n bigint")
 
+
+def _packed_counts(corpus: DataFrame, lengths: list[int], data: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             b, off = flat(batch.column(0))
             for n in lengths:
-                if n <= 8:
-                    v, c = _packed(b, off, n)
-                    raw = v.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - n :].tobytes()
-                    gram = pa.Array.from_buffers(pa.binary(n), len(v), [None, pa.py_buffer(raw)]).cast(pa.binary())
-                else:
-                    tally = _wide(b, off, n)
-                    gram, c = pa.array(list(tally), pa.binary()), list(tally.values())
-                yield pa.RecordBatch.from_arrays([pa.array([n] * len(gram), pa.int32()), gram, pa.array(c, pa.int64())], ["len", "gram", "n"])
-
-    parts = corpus.select(data).mapInArrow(run, "len int, gram binary, n bigint")
-    return parts.groupBy("len", "gram").agg(F.sum("n").alias("n"))
+                v, c = _packed(b, off, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), n, np.int32)), pa.array(v.view(np.int64)), pa.array(c, pa.int64())], ["len", "v", "n"])
+
+    sums = corpus.select(data).mapInArrow(run, "len int, v bigint, n bigint").groupBy("len", "v").agg(F.sum("n").alias("n"))
+    return sums.select("len", F.unhex(F.lpad(F.hex("v"), F.col("len") * 2, F.lit("0"))).alias("gram"), "n")
+
+
+def _wide_counts(corpus: DataFrame, lengths: list[int], data: str) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            b, off = flat(batch.column(0))
+            for n in lengths:
+                tally = _wide(b, off, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tally), n, np.int32)), pa.array(list(tally), pa.binary()), pa.array(list(tally.values()), pa.int64())], ["len", "gram", "n"])
+
+    return corpus.select(data).mapInArrow(run, "len int, gram binary, n bigint").groupBy("len", "gram").agg(F.sum("n").alias("n"))
 
 
 def gram_counts_sql(corpus: DataFrame, length: int, data: str = "data") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import bytestrings as B
 from ..functions import codec
 from ..operators import batches, bpb, bpe, grams, lattice, learner, matching, records, segment, tokenset
-from ..session import shared_folder, table, written
+from ..session import shared_folder, spread, table, written
 from ..sources import shards, tokensets
 from ..streaming import counts as streaming
 
@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 def corpus(spark: SparkSession, folder: str, name: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, data): the UTF-8 bytes of a table's texts; null is empty."""
-    return table(spark, folder, name).select(key, B.utf8(F.coalesce(F.col(text), F.lit(""))).alias("data"))
+    return spread(table(spark, folder, name).select(key, text)).select(key, B.utf8(F.coalesce(F.col(text), F.lit(""))).alias("data"))
 
 
 def benchmark(spark, folder):
@@ -372,7 +372,7 @@ _PRE = rf"'''(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}
 @query("pre_segment_counts", f"SELECT segment, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_MARKED}, {_PRE})) AS segment FROM documents) GROUP BY segment")
 def pre_segment_counts(spark, folder):
     """Counts of the byte-level pre-segments of the corpus."""
-    return segment.segment_counts(table(spark, folder, "documents"))
+    return segment.segment_counts(spread(table(spark, folder, "documents").select("text")))
 
 
 @query("pre_segments_of_odd_texts", f"""SELECT i, (unnest(range(len(s))) + 1)::INT AS pos, unnest(s) AS segment FROM (SELECT i, regexp_extract_all({_MARKED}, {_PRE}) AS s FROM
@@ -501,8 +501,7 @@ def removal_loss(spark, folder):
 
 def _learnt(spark, folder) -> tuple[DataFrame, list[bytes]]:
     """The documents, dealt to all cores, and their 20 most frequent grams of each of five lengths."""
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    data = written(corpus(spark, folder).repartition(parts), "learn")
+    data = written(corpus(spark, folder), "learn")
     return data, [bytes(r["gram"]) for r in grams.top_grams(grams.gram_counts(data, [2, 3, 4, 5, 6]), 20).collect()]
 
 
@@ -530,7 +529,7 @@ def bpe_pair_counts(spark, folder):
 
 def _weighted(spark, folder):
     """The distinct byte-level pre-segments of the documents with their counts."""
-    return segment.segment_counts(table(spark, folder, "documents")).select(F.col("segment").alias("content"), F.col("n").alias("frequency"))
+    return segment.segment_counts(spread(table(spark, folder, "documents").select("text"))).select(F.col("segment").alias("content"), F.col("n").alias("frequency"))
 
 
 @query("bpe_train")
@@ -552,7 +551,7 @@ def bpe_war(spark, folder):
 @query("unigram_bpb", f"""WITH s AS (SELECT lang, unnest(regexp_extract_all(text, {_PLAIN})) AS w FROM documents), u AS (SELECT w, count(*) / (SELECT count(*) FROM s) AS p FROM s GROUP BY w)
 SELECT lang, count(*) AS n_tokens, sum(strlen(w))::BIGINT AS n_bytes, round(avg(-ln(p)), 6) AS loss, round(count(*) / sum(strlen(w)) * avg(-ln(p)) / ln(2), 6) AS bpb FROM s JOIN u USING (w) GROUP BY lang""")
 def unigram_bpb(spark, folder):
-    d = table(spark, folder, "documents").select("lang", "text")
+    d = spread(table(spark, folder, "documents").select("lang", "text"))
     scored = bpb.segment_bits(d, bpb.unigrams(d), "lang")
     return bpb.bits_per_byte(scored, ["lang"]).select("lang", "n_tokens", "n_bytes", F.round("loss", 6).alias("loss"), F.round("bpb", 6).alias("bpb"))
 

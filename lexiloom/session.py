@@ -7,6 +7,7 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "lexiloom", **conf: str) -> SparkSession:
@@ -21,6 +22,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` of a table for work that is heavy for each row: dealt to all cores if its files have fewer parts with rows.
+
+    A table of as many files as cores, or of enough row groups, stays as it is: nothing is shuffled at scale. The
+    parts are counted without reading a column, and only where the files are few.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or df.select(F.spark_partition_id().alias("p")).distinct().count() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def resident(df: DataFrame) -> DataFrame:
     """``df`` kept in memory between passes, on disk where it does not fit; ``unpersist`` lets it go."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
