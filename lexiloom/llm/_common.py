@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Java and DuckDB pattern of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy pass holds at a time (about forty bytes of working memory for each).
@@ -39,14 +41,34 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Tables that this process has written and not removed.
+_made: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage of ``df`` with a Parquet table in the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexiloom/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make, label: str) -> DataFrame:
+    """``make()`` written as a table; every other table that was written for it is removed, since nothing reads it any more."""
+    mark = len(_made)
+    out = written(make(), label)
+    for path in _made[mark:-1]:
+        remove(spark, path)
+    del _made[mark:-1]
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Parts that the rows of one key are spread over where they meet a row of their key.
 SALTS = 64
 
@@ -71,8 +93,10 @@ def with_counts(rows: DataFrame, keys: list[str], by, name: str) -> DataFrame:
     return with_group(rows, keys, by, name, F.count("*"), F.sum("_n"))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table, or some of its columns dealt to all cores (see ``spread``)."""
+    x = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(x.select(*columns)) if columns else x
 
 
 def held_out(doc_id, modulus: int, remainder: int):

@@ -191,12 +191,13 @@ def gram_counts(docs: DataFrame, lang: str = "lang", text: str = "text", order:
     return parts.groupBy("lang", "part", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE, order: int = ORDER, most: int = FIT_ROWS) -> Model | None:
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE, order: int = ORDER, most: int = FIT_ROWS, calibrated: bool = True) -> Model | None:
     """Learn every language of the labelled rows from about ``rows`` of each (``most`` in all); None if there are none.
 
     The sample is a hash threshold on doc_id, lower for the larger languages, so its size is bounded
     whatever the table's; whole texts are read. The driver gets the sample's gram counts. A trial fit on
-    three quarters of the sample tells what texts of the last quarter cost, which sets each language's limit.
+    three quarters of the sample tells what texts of the last quarter cost, which sets each language's limit; with
+    ``calibrated`` false it is left out, and no text is beyond a limit.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -221,8 +222,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         return {x: _sums(keys[(which == i) & inside].astype(np.uint64), n[(which == i) & inside]) for i, x in enumerate(langs)}
 
     model = Model(langs, counts(np.ones(len(keys), bool)), order)
+    if not calibrated:
+        return model
     trial = Model(langs, counts(part > 0), order)
-    model.limits = limits(identify(sample.filter("part = 0"), trial).filter("lang_pred = lang"), langs)
+    model.limits = limits(identify(sample.filter("part = 0"), trial, keep_text=False).filter("lang_pred = lang"), langs)
     return model
 
 
@@ -242,8 +245,8 @@ def limits(scored: DataFrame, langs: list[str]) -> np.ndarray:
 ADDED = ("lang_pred", "score", "bits", "likely")
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Add lang_pred, score, bits (a byte, under the best language) and likely to ``docs``.
+def identify(docs: DataFrame, model: Model | None, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """Add lang_pred, score, bits (a byte, under the best language) and likely to ``docs`` (without its text, if asked).
 
     ``und`` with score 0 stands for null texts, texts without a letter, and all texts if nothing
     could be learned. score is the posterior of the best language with equal priors, where evidence
@@ -257,7 +260,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     keep = [c for c in docs.columns if c not in ADDED]
     rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep if c != text])  # one column, so no name can clash
     packed = docs.select(rest.alias("rest"), F.col(f"`{text}`").alias("text"), F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
-    schema = packed.select("rest", "text").schema.add("lang_pred", "string").add("score", "double").add("bits", "double").add("likely", "boolean")
+    schema = packed.select("rest", *["text"] * keep_text).schema.add("lang_pred", "string").add("score", "double").add("bits", "double").add("likely", "boolean")
     names = [f.name for f in schema]
     shipped = spark.sparkContext.broadcast(model)
 
@@ -277,10 +280,10 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                 score[letter] = (1 / ev.sum(1))[letter]
                 bits[letter] = (b.min(1) / size)[letter]
                 likely[letter] = (b.min(1) <= m.limits[best] * size + SLACK)[letter]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score), pa.array(bits, from_pandas=True), pa.array(likely, pa.bool_())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(1)] * keep_text, pa.array(pred, pa.string()), pa.array(score), pa.array(bits, from_pandas=True), pa.array(likely, pa.bool_())], names)
 
     out = packed.mapInArrow(run, schema)
-    return out.select(*[(F.col("text") if c == text else F.col("rest")[c]).alias(c) for c in keep], *ADDED)
+    return out.select(*[(F.col("text") if c == text else F.col("rest")[c]).alias(c) for c in keep if keep_text or c != text], *ADDED)
 
 
 def learned(docs: DataFrame) -> DataFrame:
@@ -291,9 +294,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every whole text of ``documents``, learned from the rows that are not held out.
 
     Nulls, empty and very long texts, ties, repeated rows and clashing columns: see ``identify``; an empty table gives no rows."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = fit(learned(docs))
-    out = identify(docs.select("doc_id", "text"), model)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = fit(learned(docs), calibrated=False)
+    out = identify(docs.select("doc_id", "text"), model, keep_text=False)
     return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 

@@ -130,7 +130,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its size, its source's size and target, and the words the mix takes of it.
 
     Null texts have size 0; nulls, ties, repeated rows and empty tables as in ``copies``."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
     slim = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "op3")
     return copies(slim).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
 

@@ -395,7 +395,7 @@ def op6_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document of ``documents``: doc_id, class_id and n_links at a similarity of 0.8 of five-word shingles.
 
     Nulls, empty and very long texts, repeated rows and empty tables: see ``near_duplicates``."""
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_id", "n_links")
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

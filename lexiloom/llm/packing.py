@@ -99,7 +99,7 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch of every document: doc_id, length (words), bucket_length, batch_id in the bucket and row in the batch.
 
     Null texts have length 0; repeated rows and empty tables as in ``pack``."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
     slim = written(docs.select("doc_id", word_count(F.col("text")).alias("length")), "op4")
     return pack(slim).select("doc_id", "length", "bucket_length", "batch_id", "batch_row")
 

@@ -275,7 +275,7 @@ def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text of ``documents``, learned from the labels that are not held out.
 
     Word vectors come from all texts; null, empty and very long texts, repeated rows and missing labels: see ``score`` and ``train``."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
     vectors = spark.sparkContext.broadcast(word_vectors(docs))
     network = train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), vectors)
     out = score(docs, vectors, network)

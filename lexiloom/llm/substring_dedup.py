@@ -249,7 +249,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every whole text of ``documents``, without the words of 50-word
     windows that start in a document of smaller doc_id too. Nulls, ties, repeated rows: see ``substring_dedup``."""
-    out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = substring_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 

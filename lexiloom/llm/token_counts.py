@@ -143,5 +143,5 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None =
         vocabulary = public_tokenizers.path("word_bpe_49k.json")
     with open(vocabulary, encoding="utf-8") as f:
         spec = f.read()
-    out = count_tokens(table(spark, sf_dir, "documents"), spec)
+    out = count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), spec)
     return out.withColumn("over_limit", F.col("n_tokens") > LIMIT)

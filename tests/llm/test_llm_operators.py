@@ -865,7 +865,9 @@ def test_pipeline(spark, small, sample):
         seen.append((name, docs.count(), docs.columns))
     assert [n for n, _, _ in seen] == ["language", "near_duplicates", "substring_dedup", "mixing", "packing"]
     assert all(cols == sample.columns for _, _, cols in seen[:4]) and seen[3][1] == seen[4][1] > 0
+    before = len(c._made)
     assert p.run(spark, small).count() == seen[4][1]
+    assert len(c._made) == before + 5  # a table for each stage, no other
 
 
 def test_mixing_stage_repeats_rows(spark, odd, none):
