@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import language_id, mixing, near_join, packing, substring_dedup
-from lexiloom.llm._common import written
+from lexiloom.llm._common import settled, written
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +40,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again, and the tables that
+    a stage wrote on its way are removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
 
 
-#: The language stage is a fitted model, which SQL can't express; tests hold the stages against brute force.
+#: The language stage is a fitted model, which SQL can't express; tests/llm/test_pipeline_stages.py holds every stage's
+#: rows against a brute-force version, with a fixed language model.
 ORACLE_SQL = None
