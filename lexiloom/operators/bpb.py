@@ -30,12 +30,15 @@ def segment_bits(corpus: DataFrame, model: DataFrame, key: str = "doc_id", text:
 
 
 def bits_per_byte(scored: DataFrame, by: list[str]) -> DataFrame:
-    """(by, n_tokens, n_bytes, loss, perplexity, bpb): loss in nats a token; segments without a probability don't count."""
-    x = scored.filter(F.col("p").isNotNull()).groupBy(*by).agg(
-        F.sum("times").cast("bigint").alias("n_tokens"), F.sum(F.col("times") * F.col("n_bytes")).cast("bigint").alias("n_bytes"), F.sum(-F.ln("p") * F.col("times")).alias("_nats")
-    )
-    loss = F.col("_nats") / F.col("n_tokens")
-    return x.select(*by, "n_tokens", "n_bytes", loss.alias("loss"), F.exp(loss).alias("perplexity"), (F.col("n_tokens") / F.col("n_bytes") * loss * F.lit(math.log2(math.e))).alias("bpb"))
+    """(by, n_tokens, n_bytes, n_unseen, loss, perplexity, bpb): loss in nats a token, over the segments that the model has;
+    n_unseen counts the others. Where it has none, the figures are null."""
+    known = F.col("p").isNotNull()
+    x = scored.groupBy(*by).agg(
+        F.sum(F.when(known, F.col("times")).otherwise(0)).cast("bigint").alias("n_tokens"), F.sum(F.when(known, F.col("times") * F.col("n_bytes")).otherwise(0)).cast("bigint").alias("n_bytes"),
+        F.sum(F.when(known, 0).otherwise(F.col("times"))).cast("bigint").alias("n_unseen"), F.sum(-F.ln("p") * F.col("times")).alias("_nats"),
+    )
+    loss = F.col("_nats") / F.nullif("n_tokens", F.lit(0))
+    return x.select(*by, "n_tokens", "n_bytes", "n_unseen", loss.alias("loss"), F.exp(loss).alias("perplexity"), (F.col("n_tokens") / F.nullif("n_bytes", F.lit(0)) * loss * F.lit(math.log2(math.e))).alias("bpb"))
 
 
 def mean_loss(rows: DataFrame, p: str = "p", label: str = "label", ignore: int = -100) -> DataFrame:

@@ -53,6 +53,24 @@ def p_below(t: float, df: float) -> float:
     return tail if t < 0 else 1 - tail
 
 
+def t_quantile(q: float, df: float) -> float:
+    """The t with ``p_below(t, df) = q``, by bisection."""
+    low, high = -1e3, 1e3
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if p_below(middle, df) < q else (low, middle)
+    return (low + high) / 2
+
+
+def judged(tested: DataFrame, share: float = 0.95) -> DataFrame:
+    """A row of ``significance`` with p, the chance of a t as low if the mean were the threshold, and low and high, between
+    which the mean lies with the probability ``share`` if nothing was known of it before (flat prior)."""
+    p = F.udf(lambda t, df: p_below(t, df), "double")
+    q = F.udf(lambda df: t_quantile((1 + share) / 2, df), "double")
+    x = tested.withColumns({"p": p(F.col("t"), F.col("df").cast("double")), "_e": q(F.col("df").cast("double")) * F.col("std") / F.sqrt("n")})
+    return x.withColumns({"low": F.col("mean") - F.col("_e"), "high": F.col("mean") + F.col("_e")}).drop("_e")
+
+
 def _incomplete_beta(a: float, b: float, x: float) -> float:
     if x <= 0 or x >= 1:
         return float(x >= 1)

@@ -51,8 +51,8 @@ BYTES = "regexp_extract_all(hex(encode(coalesce({}, ''))), '..')"
 
 @query("corpus_byte_stats", "SELECT lang, count(*) AS n_docs, count(DISTINCT text) AS n_distinct, sum(strlen(text))::BIGINT AS n_bytes, sum(length(text))::BIGINT AS n_chars, max(strlen(text))::BIGINT AS max_bytes FROM documents GROUP BY lang")
 def corpus_byte_stats(spark, folder):
-    d = table(spark, folder, "documents").select("lang", "text", F.octet_length("text").alias("b"), F.length("text").alias("c"), F.xxhash64("text").alias("h"))
-    return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.countDistinct("h").alias("n_distinct"), F.sum("b").alias("n_bytes"), F.sum("c").alias("n_chars"), F.max("b").cast("bigint").alias("max_bytes"))
+    d = table(spark, folder, "documents").select("lang", "text", F.octet_length("text").alias("b"), F.length("text").alias("c"), *[F.when(F.col("text").isNotNull(), F.xxhash64(F.lit(k), "text")).alias(f"h{k}") for k in (1, 2)])
+    return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.countDistinct("h1", "h2").alias("n_distinct"), F.sum("b").alias("n_bytes"), F.sum("c").alias("n_chars"), F.max("b").cast("bigint").alias("max_bytes"))
 
 
 @query("single_byte_histogram", f"SELECT ('0x' || h)::INT AS byte, count(*) AS n FROM (SELECT unnest({BYTES.format('text')}) AS h FROM documents) GROUP BY h")
@@ -558,12 +558,12 @@ def unigram_bpb(spark, folder):
 
 @query("perplexity", f"""WITH d AS (SELECT unnest(regexp_extract_all(text, {_PLAIN})) AS w FROM documents), u AS (SELECT w, count(*) / (SELECT count(*) FROM d) AS p FROM d GROUP BY w),
 b AS (SELECT item_id, unnest(regexp_extract_all(text, {_PLAIN})) AS w FROM benchmark)
-SELECT item_id, count(*) AS n_tokens, round(exp(avg(-ln(p))), 4) AS perplexity FROM b JOIN u USING (w) GROUP BY item_id""")
+SELECT item_id, count(p) AS n_tokens, count(*) - count(p) AS n_unseen, round(exp(avg(-ln(p))), 4) AS perplexity FROM b LEFT JOIN u USING (w) GROUP BY item_id""")
 def perplexity(spark, folder):
-    """The benchmark's texts under the corpus's unigrams; segments the corpus lacks are left out."""
+    """The benchmark's texts under the corpus's unigrams: perplexity over the segments the corpus has, and how many it lacks."""
     model = bpb.unigrams(table(spark, folder, "documents"))
     scored = bpb.segment_bits(table(spark, folder, "benchmark"), model, "item_id")
-    return bpb.bits_per_byte(scored, ["item_id"]).select("item_id", "n_tokens", F.round("perplexity", 4).alias("perplexity"))
+    return bpb.bits_per_byte(scored, ["item_id"]).select("item_id", "n_tokens", "n_unseen", F.round("perplexity", 4).alias("perplexity"))
 
 
 _P = [round(1 / (3 + i), 6) for i in range(len(PIECES))]

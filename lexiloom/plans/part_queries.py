@@ -19,7 +19,7 @@ from ..operators import batches, bpb, bpe, grams, lattice, learner, matching, re
 from ..session import resident, shared_folder, table, written
 from ..sources import shards, tokensets
 from . import pipelines
-from .catalogue import _FREE, _MEANS, _P, _UNION, LATTICE, LETTERS, PART, PIECES, STREAM, _params, _paths_sql, benchmark, cost_sql, dictionary, gram_sql, names, query, sql_list, stream
+from .catalogue import _FREE, _MARKED, _MEANS, _P, _PRE, _UNION, COMMON, LATTICE, LETTERS, PART, PIECES, SQL, STREAM, _params, _paths_sql, benchmark, cost_sql, dictionary, gram_sql, names, query, sql_list, stream
 
 MULTI = [t for t in PIECES if len(t) > 1]
 RAW = [t.encode() for t in PIECES]
@@ -33,6 +33,10 @@ def _folder(spark, name: str) -> str:
 # ---------------------------------------------------------------- byte-pair encoding
 
 
+#: Each byte of a segment as the letter U+E100 + byte, in the same order.
+_BYTE_LETTERS = "array_to_string(list_transform(regexp_extract_all(hex(encode(segment)), '..'), lambda h: chr((57600 + ('0x' || h)::INT)::INT)), '')"
+
+
 def canon_sql(source: str) -> str:
     """(t, s): each string t of ``source`` as its canonical tokens in angle brackets."""
     steps = []
@@ -45,6 +49,20 @@ def canon_sql(source: str) -> str:
 SELECT t, s FROM c WHERE {case} IS NULL)"""
 
 
+def canon_bytes_sql(source: str, tokens) -> str:
+    """(t, s): the same for byte letters and multi-byte tokens, over single bytes."""
+    letters = ["".join(chr(57600 + b) for b in w.encode()) for w in tokens]
+    known = {*letters}
+    steps = []
+    for w in letters:
+        cuts = "|".join(f"<{w[:k]}><{w[k:]}>" for k in range(1, len(w)) if (k == 1 or w[:k] in known) and (k == len(w) - 1 or w[k:] in known))
+        if len(w) > 1 and cuts:
+            steps.append(f"WHEN regexp_matches(s, '{cuts}') THEN regexp_replace(s, '{cuts}', '<{w}>', 'g')")
+    case = f"CASE {' '.join(steps)} END"
+    return f"""(WITH RECURSIVE c(t, s) AS (SELECT t, regexp_replace(t, '(.)', '<\\1>', 'g') FROM ({source}) UNION ALL SELECT t, n FROM (SELECT t, {case} AS n FROM c) WHERE n IS NOT NULL)
+SELECT t, s FROM c WHERE {case} IS NULL)"""
+
+
 _IDS = f"list_transform(regexp_extract_all(s, '<([^>]*)>', 1), lambda k: (list_position({sql_list(PIECES)}, k) - 1)::INT)"
 
 
@@ -83,6 +101,11 @@ def corpus_to_shards(spark, folder):
     return shards.tokens(shards.files(spark, out))
 
 
+SQL["canonical_encoding"] = f"""WITH g AS (SELECT doc_id, unnest(regexp_extract_all({_MARKED}, {_PRE})) AS segment FROM documents), x AS (SELECT doc_id, {_BYTE_LETTERS} AS t FROM g),
+n AS (SELECT doc_id, sum(len(regexp_extract_all(s, '<([^>]*)>', 1))) AS n FROM x JOIN {canon_bytes_sql("SELECT DISTINCT t FROM x", COMMON)} c USING (t) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::INT AS n_tokens, true AS same FROM documents LEFT JOIN n USING (doc_id)"""
+
+
 def prefix_sql(key: str = "p_partkey") -> str:
     """q: (t, token_id, start1, end1, prefix) of the distinct tokens of all prefixes of the distinct names."""
     return f"""pf AS (SELECT t AS whole, left(t, n::INT) AS t, n FROM ({_NAMES}), range(1, 40) r(n) WHERE n <= length(t)),
@@ -104,12 +127,19 @@ def prefix_ancestry(spark, folder):
     return bpb.prefix_ancestry(x, "p_partkey")
 
 
-_LETTERED = "SELECT regexp_replace(p_name, '(.)', '<\\1>', 'g') AS s, sum(p_size)::BIGINT AS f FROM part GROUP BY p_name"
+_LETTERED = "SELECT p_name AS t, sum(p_size)::BIGINT AS f FROM part GROUP BY p_name"
+#: The distinct pre-segments of the documents with their counts.
+_SEGMENTED = f"SELECT {_BYTE_LETTERS} AS t, n AS f FROM ({SQL['pre_segment_counts']})"
 
 
-def train_sql(merges: int) -> str:
-    """CTEs s0 .. sN (s, f) of the weighted names after each merge, and m1 .. mN with the merged pair."""
-    parts = [f"s0 AS MATERIALIZED ({_LETTERED})"]
+def _latin(k: str) -> str:
+    """Byte letters as the letters of latin-1."""
+    return f"array_to_string(list_transform(list_filter(string_split({k}, ''), lambda c: c <> ''), lambda c: chr((unicode(c) - 57600)::INT)), '')"
+
+
+def train_sql(merges: int, source: str = _LETTERED) -> str:
+    """CTEs s0 .. sN (s, f) of the weighted strings (t, f) after each merge, and m1 .. mN with the merged pair."""
+    parts = [f"s0 AS MATERIALIZED (SELECT regexp_replace(t, '(.)', '<\\1>', 'g') AS s, f FROM ({source}))"]
     for i in range(1, merges + 1):
         pairs = f"SELECT x[j] AS a, x[j + 1] AS b, f FROM (SELECT x, f, unnest(range(1, len(x))) AS j FROM (SELECT regexp_extract_all(s, '<([^>]*)>', 1) AS x, f FROM s{i - 1}))"
         parts.append(f"m{i} AS MATERIALIZED (SELECT a, b FROM ({pairs}) GROUP BY a, b ORDER BY sum(f) DESC, a, b LIMIT 1)")
@@ -121,17 +151,20 @@ def _weighted_names(spark, folder) -> DataFrame:
     return table(spark, folder, "part").select(F.col("p_name").alias("content"), F.col("p_size").alias("frequency"))
 
 
+SQL["bpe_train"] = f"WITH {train_sql(12, _SEGMENTED)} {' UNION ALL '.join(f'SELECT {i - 1} AS rank, {_latin("a || b")} AS token FROM m{i}' for i in range(1, 13))}"
+
+
 @query("bpe_train_parts", f"WITH {train_sql(12)} {' UNION ALL '.join(f'SELECT {i - 1} AS rank, a || b AS token FROM m{i}' for i in range(1, 13))}")
 def bpe_train_parts(spark, folder):
     merged, _ = bpe.train(_weighted_names(spark, folder), 12)
     return spark.createDataFrame(list(enumerate(merged)), "rank int, token string")
 
 
-def worth_sql(merges: int) -> str:
+def worth_sql(merges: int, source: str = _LETTERED) -> str:
     """w: (token, war, n_strings) of the merged tokens."""
     tokens = " UNION ALL ".join(f"SELECT {i} AS i, a || b AS k FROM m{i}" for i in range(1, merges + 1))
-    return f"""WITH RECURSIVE {train_sql(merges)}, tk AS MATERIALIZED ({tokens}),
-every AS MATERIALIZED (SELECT list_distinct(list(k) || (SELECT list(DISTINCT c) FROM (SELECT unnest(string_split(p_name, '')) AS c FROM part) WHERE c <> '')) AS ks FROM tk),
+    return f"""WITH RECURSIVE {train_sql(merges, source)}, tk AS MATERIALIZED ({tokens}),
+every AS MATERIALIZED (SELECT list_distinct(list(k) || (SELECT list(DISTINCT c) FROM (SELECT unnest(string_split(t, '')) AS c FROM ({source})) WHERE c <> '')) AS ks FROM tk),
 jobs AS MATERIALIZED (SELECT DISTINCT tk.k, replace(replace(s, '<', ''), '>', '') AS t, len(regexp_extract_all(s, '<([^>]*)>', 1)) AS n, f, list_filter(ks, lambda x: x <> tk.k) AS ks FROM tk, s{merges}, every WHERE contains(s, '<' || tk.k || '>')),
 d(k, t, n, f, ks, i, a) AS (SELECT k, t, n, f, ks, 0, [0] FROM jobs UNION ALL
 SELECT k, t, n, f, ks, i + 1, list_append(a, 1 + list_min(list_transform(list_filter(ks, lambda x: length(x) <= i + 1 AND substr(t, i + 2 - length(x), length(x)) = x), lambda x: a[i + 2 - length(x)]))) FROM d WHERE i < length(t)),
@@ -145,6 +178,9 @@ def bpe_war_parts(spark, folder):
     return bpe.worth(seg, tokens)
 
 
+SQL["bpe_war"] = f"{worth_sql(12, _SEGMENTED)} SELECT {_latin('token')} AS token, war, n_strings FROM w"
+
+
 @query("lowest_worth_token", f"{worth_sql(8)} SELECT token, war FROM w ORDER BY war, token LIMIT 1")
 def lowest_worth_token(spark, folder):
     tokens, seg = bpe.train(_weighted_names(spark, folder), 8)
@@ -317,6 +353,22 @@ def validation_loss_mean(spark, folder):
     return records.mean_over_ranks(x).withColumn("loss", F.round("loss", 5))
 
 
+def _below_sql(t: str) -> str:
+    """Student's distribution function by Simpson's rule over 20,000 steps."""
+    f = "power(1 + pow({u}, 2) / df, -(df + 1) / 2.0) * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi())"
+    total = f"sum(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {f.format(u=f'({t} * i / 20000.0::DOUBLE)')})"
+    return f"(SELECT 0.5 + {t} / 20000.0::DOUBLE / 3 * {total} FROM range(20001) r(i))"
+
+
+@query("run_significance_p", f"""WITH x AS (SELECT count(*) AS n, avg(x) AS mean, stddev_samp(x) AS std, count(*) - 1 AS df FROM (SELECT unnest({records.RUN_LOSSES}::DOUBLE[]) AS x)),
+y AS (SELECT *, (mean - 3.28) / (std / sqrt(n)) AS t, 1.99045 * std / sqrt(n) AS e FROM x)
+SELECT n, round({_below_sql('t')}, 7) AS p, round(mean - e, 6) AS low, round(mean + e, 6) AS high FROM y""")
+def run_significance_p(spark, folder):
+    """The chance of such losses at the threshold, and where the mean lies with 95 %; 1.99045 is the quantile for 79 degrees."""
+    x = records.judged(records.significance(records.run_table(spark)))
+    return x.select("n", F.round("p", 7).alias("p"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
 @query("top_completions", "SELECT p_type, token_id, p, rank FROM (SELECT p_type, p_partkey::INT AS token_id, p_size / 100.0::DOUBLE AS p, row_number() OVER (PARTITION BY p_type ORDER BY p_size DESC, p_partkey)::INT AS rank FROM part) WHERE rank <= 10")
 def top_completions(spark, folder):
     x = table(spark, folder, "part").select("p_type", F.col("p_partkey").cast("int").alias("token_id"), (F.col("p_size") / F.lit(100.0)).alias("p"))
