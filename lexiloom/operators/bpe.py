@@ -50,19 +50,80 @@ def with_both(seg: DataFrame, first: str, second: str) -> DataFrame:
     return seg.filter(F.array_contains("seg", first) & F.array_contains("seg", second))
 
 
+def merged_list(parts: list[str], first: str, second: str) -> list[str]:
+    """``merged`` for one array."""
+    out: list[str] = []
+    for x in parts:
+        if out and out[-1] == first and x == second:
+            out[-1] = first + second
+        else:
+            out.append(x)
+    return out
+
+
+def _applied(parts: list[str], merges: list[tuple[str, str]]) -> list[str]:
+    for first, second in merges:
+        if first in parts and second in parts:
+            parts = merged_list(parts, first, second)
+    return parts
+
+
+def applied(seg: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """``seg`` after some merges, in their order."""
+    schema = seg.schema
+    at = schema.names.index("seg")
+
+    def run(batches):
+        for batch in batches:
+            done = pa.array([_applied(parts, merges) for parts in batch.column(at).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([done if i == at else c for i, c in enumerate(batch.columns)], schema.names)
+
+    return seg.mapInArrow(run, schema) if merges else seg
+
+
+def deltas(seg: DataFrame, before: list[tuple[str, str]], first: str, second: str) -> DataFrame:
+    """(first, second, n): by how much each pair's weighted count changes if, after the merges ``before``, (first, second) is
+    merged; only strings that hold both count, and only pairs that change have a row."""
+
+    def run(batches):
+        tally: dict[tuple[str, str], int] = {}
+        for batch in batches:
+            for parts, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = _applied(parts, before)
+                after = _applied(parts, [(first, second)])
+                if len(after) < len(parts):
+                    for side, x in ((-f, parts), (f, after)):
+                        for pair in zip(x[:-1], x[1:], strict=True):
+                            tally[pair] = tally.get(pair, 0) + side
+        rows = [(*k, v) for k, v in tally.items() if v]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["first", "second", "n"])
+
+    found = seg.select("seg", "frequency").mapInArrow(run, "first string, second string, n bigint")
+    return found.groupBy("first", "second").agg(F.sum("n").alias("n"))
+
+
 def train(strings: DataFrame, merges: int, cut_every: int = 8) -> tuple[list[str], DataFrame]:
-    """(merged tokens in order, final segments). A round is one job that returns one pair; lineage is cut
-    every few rounds. Stops early when no pair is left."""
-    seg, out = written(segments(strings), "bpe"), []
-    for i in range(merges):
-        pair = best_pair(pair_counts(seg))
-        if pair is None:
-            break
-        out.append(pair["first"] + pair["second"])
-        seg = seg.withColumn("seg", F.when(F.array_contains("seg", pair["first"]) & F.array_contains("seg", pair["second"]), merged(F.col("seg"), pair["first"], pair["second"])).otherwise(F.col("seg")))
-        if i % cut_every == cut_every - 1:
-            seg = written(seg, "bpe")
-    return out, seg
+    """(merged tokens in order, final segments). The most frequent pair merges first, ties to the smaller pair.
+
+    The driver keeps the pairs' counts (a row a pair); a merge is one job without a sort, which returns the counts that
+    change. Merges are written into the table every few rounds. Stops early when no pair is left.
+    """
+    seg, out, since = written(segments(strings), "bpe"), [], []
+    counts = {(r["first"], r["second"]): r["n"] for r in pair_counts(seg).collect() if r["n"]}
+    while len(out) < merges and counts:
+        # the order of UTF-8 bytes is that of code points
+        first, second = min(counts, key=lambda p: (-counts[p], p))
+        out.append(first + second)
+        if len(out) < merges:  # nothing is asked after the last one
+            for r in deltas(seg, since, first, second).collect():
+                pair = (r["first"], r["second"])
+                counts[pair] = counts.get(pair, 0) + r["n"]
+                if not counts[pair]:
+                    del counts[pair]
+        since.append((first, second))
+        if len(since) == cut_every:
+            seg, since = written(applied(seg, since), "bpe"), []
+    return out, applied(seg, since)
 
 
 def worth(seg: DataFrame, tokens: list[str]) -> DataFrame:
