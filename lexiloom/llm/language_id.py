@@ -33,8 +33,8 @@ PIECE = 1 << 19
 #: Share of the sample that is kept out of a trial fit, to see what unseen texts of a language cost.
 TRIAL = 4
 #: A text is refused if its code is longer than the median of its language's unseen texts by so many spreads
-#: (standard deviations as told by the median deviation) ...
-SPREADS = 8.0
+#: (standard deviations as told by the median deviation); texts that mix two learned languages mostly stay below ...
+SPREADS = 12.0
 #: ... of which each counts as so many bits a byte at least.
 LEAST_SPREAD = 0.1
 #: Bits beyond its limit that a text of any length may cost: a few odd words do not outweigh a short text.
