@@ -74,11 +74,18 @@ def summary(tokens: DataFrame) -> DataFrame:
     return tokens.agg(F.count("*").alias("n_tokens"), F.max("n").alias("max_count"), F.min("n").alias("min_count"), F.sum("n").cast("bigint").alias("sum_count"), F.avg("n").alias("mean_count"), F.sum((F.col("len") > 1).cast("bigint")).alias("n_multi_byte"))
 
 
+#: Accepted tokens that ``conflicts`` compares every candidate with, at most.
+MOST_ACCEPTED = 10_000
+
+
 def conflicts(candidates: DataFrame, accepted: DataFrame) -> DataFrame:
     """Candidates with whether some accepted token contains, is contained in, or overlaps them at an end.
 
-    Meant for a step's few dozen candidates; equal tokens conflict too.
+    The accepted tokens of a step (a few dozen) are sent to every task and compared with each candidate, so their number
+    is checked: over MOST_ACCEPTED is an error. Equal tokens conflict too.
     """
+    if accepted.limit(MOST_ACCEPTED + 1).count() > MOST_ACCEPTED:
+        raise ValueError(f"conflicts compares with {MOST_ACCEPTED} accepted tokens at most")
     a = accepted.select(F.col("token").alias("other"))
     x = candidates.join(a, F.expr("contains(other, token) or contains(token, other)") | suffix_prefix_overlap(F.col("token"), F.col("other")) | suffix_prefix_overlap(F.col("other"), F.col("token")), "left_semi")
     return candidates.join(x.select("token").withColumn("conflict", F.lit(True)).distinct(), "token", "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))

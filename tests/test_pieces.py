@@ -105,3 +105,14 @@ def test_counts_by_join_equal_those_of_a_dictionary(spark, monkeypatch):
     assert sorted(map(tuple, matching.counts_of(df, table).select("token_id", "n_total", "n_nonoverlap", "est_savings").collect())) == want
     monkeypatch.setattr(matching.Dictionary, "MOST", 5)
     assert sorted(map(tuple, matching.counts_of(df, table).select("token_id", "n_total", "n_nonoverlap", "est_savings").collect())) == want
+
+
+def test_conflicts_check_the_size_of_what_is_sent(spark, monkeypatch):
+    from lexiloom.operators import tokenset
+
+    tokens = spark.createDataFrame([(b"ring",), (b"ingot",), (b"x",)], "token binary")
+    got = {bytes(r["token"]): r["conflict"] for r in tokenset.conflicts(tokens, tokens.filter("token = cast('ring' AS binary)")).collect()}
+    assert got == {b"ring": True, b"ingot": True, b"x": False}
+    monkeypatch.setattr(tokenset, "MOST_ACCEPTED", 2)
+    with pytest.raises(ValueError):
+        tokenset.conflicts(tokens, tokens)
