@@ -23,6 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,7 +192,7 @@ def groups(batches, keys: int):
 def _lists(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and values of the column ``leaf``."""
     x = g["leaf"].combine_chunks()
-    n = np.array([len(v) for v in x], np.int64)
+    n = pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64)
     return np.concatenate([[0], np.cumsum(n)]), np.asarray(x.flatten(), np.int64)
 
 
