@@ -52,3 +52,34 @@ def test_token_ancestry_has_no_join(spark, small):
     from lexiloom.plans import catalogue
 
     assert "Join" not in plan(catalogue.QUERIES["token_ancestry"](spark, small))
+
+
+def joined_encoding(corpus, dictionary, params, most):
+    """The encoding by joins and windows over lattice rows."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rows, at = lattice.lattice(corpus, dictionary), ["doc_id", "token_id", "start1"]
+    means = lattice.byte_means(lattice.non_dominated(rows), params)
+    x = rows.join(lattice.ancestor_counts(rows).withColumnRenamed("position", "n_ancestors"), at).join(lattice.cumulative(rows, means), at)
+    return x.withColumn("slot", F.row_number().over(Window.partitionBy("doc_id").orderBy("start1", "end1", "token_id"))).filter(F.col("slot") <= most)
+
+
+@pytest.mark.parametrize("most", [1, 16, 1000])
+def test_encoding_of_texts(spark, frame, monkeypatch, most):
+    monkeypatch.setattr(lattice, "BATCH", 7)
+    d = matching.Dictionary(TOKENS)
+    # a token without a parameter, one with none but null, one with two, and one that is no token
+    params = spark.createDataFrame([(0, 0.1), (1, None), (3, 0.7), (4, 1.3), (4, -0.4), (5, 0.2), (6, 0.9), (7, 2.0), (8, 5.0), (9, 0.3), (77, 9.0)], "token_id int, param double")
+    got, want = lattice.encoding(frame, d, params, most), joined_encoding(frame, d, params, most)
+    same = lambda df: sorted((r["doc_id"], r["slot"], r["token_id"], r["start1"], r["end1"], r["n_ancestors"], round(r["position"], 9)) for r in df.collect())
+    assert got.columns == want.columns and dict(got.dtypes) == dict(want.dtypes)
+    assert same(got) == same(want) and not shuffles(got)
+
+
+def test_invariant_encoding_shuffles_nothing(spark, tmp_path):
+    from lexiloom.plans import catalogue
+
+    # files of as many parts as cores, so that the table itself is not dealt anew
+    spark.range(8).selectExpr("id AS doc_id", "'the nan thé' AS text").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    assert not shuffles(catalogue.QUERIES["invariant_encoding"](spark, str(tmp_path)))
