@@ -1,7 +1,9 @@
 """Learning over distinct pieces that count more than once against the same over the texts."""
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from lexiloom.operators import grams, learner, matching, segment
@@ -71,3 +73,22 @@ def test_learning_reads_the_texts_once(spark, frame):
             learner.shrink(frame, plain, seed=step)
     assert state.history == plain.history and any(h[2] for h in state.history)
     assert learner.total_tokens(frame, state.vocab) == min(best[0], learner.total_tokens(frame, plain.vocab))
+
+
+@pytest.mark.parametrize("tokens", [TOKENS, [*TOKENS, b"abcabcabc", b"aaaaaaaaaaaa"], [b"aaaaaaaaaa"], [b"a"]])
+def test_tally_of_pieces(tokens):
+    raw, d = [t or b"" for t in texts()], matching.Dictionary([*learner.BYTES, *tokens])
+    for rows in (raw, [b""], [b"a"], [b"ab", b"c"], []):
+        data, off = np.frombuffer(b"".join(rows), np.uint8), np.array([0, *np.cumsum([len(r) for r in rows])], np.int64)
+        pieces, got = matching.Pieces(d, data, off), Counter()
+        for piece, n in matching.piece_tally(d, data, off):
+            got[piece] += n
+        assert got == Counter(data[a:b].tobytes() for a, b in zip(pieces.edge[:-1].tolist(), pieces.edge[1:].tolist(), strict=True))
+
+
+@pytest.mark.parametrize("limit", [1, 50, 8 << 20])
+def test_grams_of_slices(frame, monkeypatch, limit):
+    monkeypatch.setattr(grams, "TEXTS", limit)
+    monkeypatch.setattr(grams, "PIECE", 64)
+    want = Counter((n, t[i : i + n]) for t in texts() if t for n in (1, 2, 6) for i in range(len(t) - n + 1))
+    assert {(r["len"], bytes(r["gram"])): r["n"] for r in grams.gram_counts(frame, [1, 2, 6]).collect()} == want
